@@ -1 +1,8 @@
 """corvid: retrieval, evaluation and corpus preparation as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel whole, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
