@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontamination, language_id, mixing, ranking, rules, sharding, simhash
+from . import context_tree, decontamination, language_id, mixing, quotations, ranking, rules, sharding, simhash, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_isolation_forest,
         op2_source_mix,
+        op3_html_wrapper,
+        op4_quotation_links,
         op5_bradley_terry,
         op6_template_decontamination,
         op7_size_tiered_shards,
