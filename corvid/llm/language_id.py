@@ -28,6 +28,8 @@ TRAIN_ROWS_PER_LANG = 500
 DIM = 1 << 12
 MARGIN = 0.1
 ROUNDS, RATE, L2 = 150, 20.0, 1e-4
+#: Bytes of a text that are worked on at once.
+PIECE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 FIELDS = "lang_pred string, score double, ambiguous boolean"
 
@@ -36,8 +38,8 @@ def features(text: str | None) -> np.ndarray:
     """Unit vector of the square roots of the counts of hashed byte 1- to 3-grams of the whole lower-cased text."""
     out = np.zeros(DIM, np.int64)
     raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
-    for start in range(0, len(raw), 1 << 20):  # bounded memory; the two bytes before a piece belong to its n-grams
-        part = raw[max(0, start - 2) : start + (1 << 20)].astype(np.uint32)
+    for start in range(0, len(raw), PIECE):  # bounded memory; the two bytes before a piece belong to its n-grams
+        part = raw[max(0, start - 2) : start + PIECE].astype(np.uint32)
         lead = min(start, 2)
         for n in (1, 2, 3):
             if len(part) < n:

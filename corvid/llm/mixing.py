@@ -10,6 +10,7 @@ excess reshared by weight among the others. In each source the target is fitted
 4. a bounded-knapsack dynamic program over the lengths' remaining counts fills those last words as
    nearly as it can.
 
+A source of so few documents that a remainder stays may give single lengths a copy less or more.
 That yields how many documents of each length get one more copy; they are those with the least
 seeded hash. The threshold, the k-th least hash of a (source, length) group, is found in slices of
 SLICES hash ranges, so that a group that holds a third of all rows is ranked by many tasks.
@@ -34,6 +35,8 @@ from .common import WORD, cut, maybe_broadcast
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 DP_WORDS = 1 << 15
+#: A remainder above this share of the target makes a small source try copies document by document.
+COARSE = 0.002
 SLICES = 256
 SEED = 2
 
@@ -64,29 +67,14 @@ def targets(totals: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list[int]]:
-    """How often every document is taken, and for each length how many get one more copy; lengths ascend, from 1."""
-    total = sum(a * n for a, n in zip(lengths, counts, strict=True))
-    if not total or target <= 0:
-        return 0, [0] * len(lengths)
-    budget = round(target)
-    every = min(MOST_COPIES, budget // total)
-    rest = budget - every * total
-    if every == MOST_COPIES or rest <= 0:
-        return every, [0] * len(lengths)
-    more = [rest * n // total for n in counts]
-    rest -= sum(a * x for a, x in zip(lengths, more, strict=True))
-    for i in range(len(lengths) - 1, -1, -1):
-        if rest <= DP_WORDS:
-            break
-        x = min(counts[i] - more[i], (rest - DP_WORDS // 2) // lengths[i])
-        more[i] += x
-        rest -= x * lengths[i]
-    rest = min(rest, sum(a * (n - x) for a, n, x in zip(lengths, counts, more, strict=True)))
-    # Bit s of reach is set if s words can be filled. Counts go in as powers of two (bounded knapsack).
+def filled(lengths: list[int], counts: list[int], rest: int) -> list[int]:
+    """How many of each length make up the greatest sum of at most rest: bounded knapsack, counts in powers of two."""
+    out = [0] * len(lengths)
+    rest = min(rest, sum(a * n for a, n in zip(lengths, counts, strict=True)))
+    # Bit s of reach is set if s words can be filled.
     reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
     for i in range(len(lengths) - 1, -1, -1):
-        left, power = min(counts[i] - more[i], rest // lengths[i]), 1
+        left, power = min(counts[i], rest // lengths[i]), 1
         while left > 0 and not reach >> rest & 1:
             n = min(power, left)
             steps.append((i, n, reach))
@@ -95,9 +83,40 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list
     s = reach.bit_length() - 1
     for i, n, had in reversed(steps):
         if not had >> s & 1:
-            more[i] += n
+            out[i] += n
             s -= n * lengths[i]
-    return every, more
+    return out
+
+
+def fit(lengths: list[int], counts: list[int], target: float) -> tuple[list[int], list[int]]:
+    """For each length how often all its documents are taken, and how many get one more copy; lengths ascend, from 1."""
+    total = sum(a * n for a, n in zip(lengths, counts, strict=True))
+    if not total or target <= 0:
+        return [0] * len(lengths), [0] * len(lengths)
+    budget = round(target)
+    every = min(MOST_COPIES, budget // total)
+    rest = budget - every * total
+    more = [0] * len(lengths)
+    if every < MOST_COPIES and rest > 0:
+        more = [rest * n // total for n in counts]
+        rest -= sum(a * x for a, x in zip(lengths, more, strict=True))
+        for i in range(len(lengths) - 1, -1, -1):
+            if rest <= DP_WORDS:
+                break
+            x = min(counts[i] - more[i], (rest - DP_WORDS // 2) // lengths[i])
+            more[i] += x
+            rest -= x * lengths[i]
+        last = filled(lengths, [n - x for n, x in zip(counts, more, strict=True)], rest)
+        more = [x + y for x, y in zip(more, last, strict=True)]
+        rest -= sum(a * x for a, x in zip(lengths, last, strict=True))
+    taken = [every * n + x for n, x in zip(counts, more, strict=True)]
+    base = max(every - 1, 0)
+    if rest > COARSE * budget and budget - base * total <= DP_WORDS:
+        # So few documents that their subsets are coarse: single documents may get a copy less or more.
+        other = filled(lengths, [n * (MOST_COPIES - base) for n in counts], budget - base * total)
+        if budget - base * total - sum(a * x for a, x in zip(lengths, other, strict=True)) < rest:
+            taken = [base * n + x for n, x in zip(counts, other, strict=True)]
+    return [x // n for x, n in zip(taken, counts, strict=True)], [x % n for x, n in zip(taken, counts, strict=True)]
 
 
 def plan(slim: DataFrame) -> DataFrame:
@@ -114,8 +133,8 @@ def plan(slim: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("size")
         some = pdf["size"] > 0
         every, more = fit([int(a) for a in pdf.loc[some, "size"]], [int(n) for n in pdf.loc[some, "n"]], float(pdf["target"].iloc[0]))
-        pdf["every"], pdf["more"] = every, 0
-        pdf.loc[some, "more"] = more
+        pdf["every"], pdf["more"] = 0, 0
+        pdf.loc[some, "every"], pdf.loc[some, "more"] = every, more
         return pdf.astype({"every": "int64", "more": "int64"})
 
     fitted = cut(rows.groupBy("source").applyInPandas(one, "source string, size long, n long, source_size long, target double, every long, more long"))
