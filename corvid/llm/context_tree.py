@@ -11,7 +11,7 @@ token sequences. The base score is that of a unigram model of tokens with add-on
 
 How it runs:
 
-1. train: every scan task counts its texts' tokens (by XXH64) and n-grams of DEPTH+1 bytes and
+1. train: every scan task counts its texts' tokens (by a 64-bit hash) and n-grams of DEPTH+1 bytes and
    emits them packed, a row a bucket; buckets are summed. N-grams are dealt by their last two
    context bytes, so all nodes of depth 2 and deeper are whole in one bucket. Depths 0 and 1, at
    most 256 * 255 nodes, are finished by the driver: 2 MB at any input.
@@ -22,17 +22,16 @@ How it runs:
 
 Defined results: null or empty text: the end alone. A null doc_id is in no fold and is learned
 from. Repeated rows: equal results. No learned text: every bit costs 1/2. Empty table: empty result.
-Two tokens share an XXH64 with a probability of about V^2 / 2^65, V the distinct tokens.
+Two of V distinct tokens share their 64-bit hash with a probability of about V^2 / 2^65.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,54 +40,90 @@ from .common import cut, in_fold
 DEPTH = 5
 END = b"\xff"
 #: Bytes of text in a block, and in a bucket's share; above 10 TB a larger BLOCK_BYTES keeps rows few.
-BLOCK_BYTES = 12 << 20
-CHUNK = 4 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK = 2 << 20
 FLUSH = 400_000
 #: Stands for the end among the hashes of tokens.
-END_KEY = xxhash.xxh64_intdigest(END, 0)
+END_KEY = 0x0123456789ABCDEF
 FOLD = (7, 2)
-PACKED = "kind string, bucket long, block long, keys binary, counts binary"
 U64, I64 = np.dtype("<u8"), np.dtype("<i8")
+PACKED = "kind string, bucket long, block long, keys binary, counts binary"
+PACKED_NAMES = ["kind", "bucket", "block", "keys", "counts"]
+
 
 
 # Texts -----------------------------------------------------------------------------------------
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def normal(text: str | None) -> bytes:
+    """The tokens, A-Z lower-cased, with a space between two."""
+    return b" ".join((text or "").encode("utf-8", "replace").lower().split())
+
+
+#: Base of the tokens' polynomial hash modulo 2^64, and its inverse.
+M = np.uint64(0x9E3779B97F4A7C15)
+M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@lru_cache(2)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def token_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 0)
+def token_keys(texts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each token of the normal texts, one text after the other.
 
+    Sums of (byte + 1) * M^place give each token's polynomial at once; its place is divided out and the bits are mixed.
+    """
+    whole = b" ".join(t for t in texts if t)
+    out, lo = [], 0
+    while lo < len(whole):
+        hi = len(whole) if lo + CHUNK >= len(whole) else whole.find(b" ", lo + CHUNK)
+        hi = len(whole) if hi < 0 else hi
+        a = np.frombuffer(whole, np.uint8, hi - lo, lo)
+        size = 1 << max(21, (len(a) - 1).bit_length())
+        part = (a.astype(np.uint64) + np.uint64(1)) * powers(int(M), size)[: len(a)]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(part)])
+        ends = np.append(np.flatnonzero(a == 32), len(a))
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        out.append(scrambled((total[ends] - total[begins]) * powers(int(M_INVERSE), size)[begins]))
+        lo = hi + 1
+    return np.concatenate(out) if out else np.empty(0, U64)
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram (DEPTH context bytes, then the byte) at each byte and end of texts, and where each text's begin."""
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def codes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The n-gram (DEPTH context bytes, then the byte) at each byte and end of texts in turn, in pieces of about CHUNK."""
     pad = END * DEPTH
     a = np.frombuffer(pad + pad.join(texts) + END, np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths + DEPTH)[:-1]])
-    is_target = np.ones(len(a), bool)
-    for i in range(1, DEPTH):
-        is_target[starts + i] = False
-    code = a[: len(a) - DEPTH].astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        code <<= np.uint64(8)
-        code |= a[k : len(a) - DEPTH + k]
-    return code[is_target[DEPTH:]], np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-
-
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of whole texts of about CHUNK bytes."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + DEPTH)])
+    # Of the DEPTH ends before a text the first is the end of the text before; the others, and the very first, are only context.
+    for lo in range(DEPTH, len(a), CHUNK):
+        hi = min(lo + CHUNK, len(a))
+        code = a[lo - DEPTH : hi - DEPTH].astype(np.uint64)
+        for k in range(DEPTH - 1, -1, -1):
+            code <<= np.uint64(8)
+            code |= a[lo - k : hi - k]
+        near = starts[np.searchsorted(starts, lo - DEPTH) : np.searchsorted(starts, hi)]
+        skip = (near[:, None] + np.arange(1, DEPTH)[None, :]).ravel() - lo
+        target = np.ones(hi - lo, bool)
+        target[skip[(skip >= 0) & (skip < hi - lo)]] = False
+        yield code[target]
+
+
+def distinct(keys: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each stands there (zeros unless counts)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], (np.diff(np.append(first, len(keys))) if counts else np.zeros(len(first), np.int64))
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,32 +162,19 @@ def packed(kind: str, keys: np.ndarray, counts: np.ndarray | None, buckets: int,
 
 def count_texts(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     """Packed counts of a task's texts; what has been counted goes out when it exceeds FLUSH keys."""
-    words: Counter = Counter()
+    words: list[tuple[np.ndarray, np.ndarray]] = []
     grams: list[tuple[np.ndarray, np.ndarray]] = []
-    ends = 0
-
-    def out() -> pd.DataFrame:
-        words[END] = ends
-        table = sorted((token_key(w) if w != END else END_KEY, n) for w, n in words.items() if n)
-        rows = packed("w", np.array([k for k, _ in table], U64), np.array([n for _, n in table], I64), buckets, 0)
-        return pd.DataFrame(rows + packed("g", *merged(grams), buckets, 0), columns=["kind", "bucket", "block", "keys", "counts"])
-
     for pdf in batches:
-        split = [tokens(t) for t in pdf["text"]]
-        ends += len(split)
-        for part in chunks([b" ".join(w) for w in split]):
-            code, n = np.unique(codes(part)[0], return_counts=True)
-            grams.append((code, n.astype(np.int64)))
-        for w in split:
-            words.update(w)
-        if len(grams) > 8:
-            grams = [merged(grams)]
-        if len(words) > FLUSH or sum(len(k) for k, _ in grams) > 4 * FLUSH:
-            yield out()
-            words.clear()
-            grams, ends = [], 0
-    if ends:
-        yield out()
+        texts = [normal(t) for t in pdf["text"]]
+        words += [distinct(token_keys(texts), True), (np.array([END_KEY], U64), np.array([len(texts)], I64))]
+        grams += [distinct(code, True) for code in codes(texts)]
+        if sum(len(k) for k, _ in words + grams) > 4 * FLUSH:
+            words, grams = [merged(words)], [merged(grams)]
+        if len(words[0][0]) > FLUSH or len(grams[0][0]) > 2 * FLUSH:
+            yield pd.DataFrame(packed("w", *merged(words), buckets, 0) + packed("g", *merged(grams), buckets, 0), columns=PACKED_NAMES)
+            words, grams = [], []
+    if words:
+        yield pd.DataFrame(packed("w", *merged(words), buckets, 0) + packed("g", *merged(grams), buckets, 0), columns=PACKED_NAMES)
 
 
 # The tree --------------------------------------------------------------------------------------
@@ -297,17 +319,15 @@ def train(docs: DataFrame, buckets: int) -> Model:
 # Scoring ---------------------------------------------------------------------------------------
 
 
-def distinct_keys(split: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The block's distinct tokens with their hashes, the sorted hashes, and the sorted n-grams."""
-    words = {w: token_key(w) for w in set().union(*split)} if split else {}
-    grams = [(u, np.zeros(len(u), np.int64)) for part in chunks([b" ".join(w) for w in split]) for u in [np.unique(codes(part)[0])]]
-    return words, np.unique(np.array([*words.values(), END_KEY], U64)), merged(grams)[0]
+def block_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct tokens, the end among them, and n-grams of a block."""
+    return distinct(np.append(token_keys(texts), U64.type(END_KEY)))[0], merged([distinct(code) for code in codes(texts)])[0]
 
 
 def asked(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    _, hashes, grams = distinct_keys([tokens(t) for t in pdf["text"]])
+    words, grams = block_keys([normal(t) for t in pdf["text"]])
     block = int(pdf["block"].iloc[0])
-    return pd.DataFrame(packed("w", hashes, None, buckets, block) + packed("g", grams, None, buckets, block), columns=["kind", "bucket", "block", "keys", "counts"])
+    return pd.DataFrame(packed("w", words, None, buckets, block) + packed("g", grams, None, buckets, block), columns=PACKED_NAMES)
 
 
 def answered(pdf: pd.DataFrame, top: dict[int, Level]) -> pd.DataFrame:
@@ -317,14 +337,14 @@ def answered(pdf: pd.DataFrame, top: dict[int, Level]) -> pd.DataFrame:
     keys = unpack(known["keys"].iloc[0], U64) if len(known) else np.empty(0, U64)
     n = unpack(known["counts"].iloc[0], I64) if len(known) else np.empty(0, I64)
     tree = top | levels(keys, n, 2) if kind == "g" else None
+    wanted = [unpack(blob, U64) for blob in ask["keys"]]
+    if kind == "g":  # each n-gram that any block asks for is worked out once
+        keys = distinct(np.concatenate(wanted))[0] if wanted else keys
+        n = log10_next(keys, tree).astype("<f4")
     out = []
-    for block, blob in zip(ask["block"], ask["keys"], strict=True):
-        want = unpack(blob, U64)
-        if kind == "g":
-            values = log10_next(want, tree).astype("<f4")
-        else:
-            at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-            values = np.where(keys[at] == want, n[at], 0).astype("<i8") if len(keys) else np.zeros(len(want), "<i8")
+    for block, want in zip(ask["block"], wanted, strict=True):
+        at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+        values = np.where(keys[at] == want, n[at], n.dtype.type(0)) if len(keys) else np.zeros(len(want), n.dtype)
         out.append((int(block), kind, bucket, values.tobytes()))
     return pd.DataFrame(out, columns=["block", "kind", "bucket", "values"])
 
@@ -358,27 +378,32 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scored(pdf: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, buckets: int) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame(columns=[x.split()[0] for x in RESULT.split(", ")])
-    split = [tokens(t) for t in pdf["text"]]
-    words, hashes, grams = distinct_keys(split)
+    texts = [normal(t) for t in pdf["text"]]
+    words, grams = block_keys(texts)
     given = {(k, b): x for k, b, x in zip(answers["kind"], answers["bucket"], answers["values"], strict=True)}
-    count, cost = np.zeros(len(hashes), np.int64), np.zeros(len(grams))
-    for kind, keys, into, dtype in (("w", hashes, count, "<i8"), ("g", grams, cost, "<f4")):
+    count, cost = np.zeros(len(words), np.int64), np.zeros(len(grams))
+    for kind, keys, into, dtype in (("w", words, count, "<i8"), ("g", grams, cost, "<f4")):
         for b, at in dealt(kind, keys, buckets):
             into[at] = np.frombuffer(given[kind, b], dtype)
-    of = dict(zip(hashes.tolist(), count.tolist(), strict=True))
-    end = of[END_KEY]
-    count_of = {w: of[k] for w, k in words.items()}
-    base_of = lambda c: np.log10(np.asarray(c, float) + 1) - np.log10(n + 1 * (v + 1))
-    logs = dict(zip(count_of, base_of(list(count_of.values())), strict=True)) if count_of else {}
-    n_known = [sum(1 for w in t if count_of[w]) + (end > 0) for t in split]
-    base = [float(np.sum([logs[w] for w in t]) + base_of(end)) for t in split]
-    find, score = Lookup(grams), []
-    for part in chunks([b" ".join(w) for w in split]):
-        code, starts = codes(part)
-        score.append(np.add.reduceat(cost[find.places(code)], starts))
-    score = np.concatenate(score)
-    size = np.array([sum(map(len, t)) + max(len(t) - 1, 0) + 1 for t in split])
-    return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": [len(t) + 1 for t in split], "n_known": n_known, "train_tokens": n, "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / size})
+    logs = np.log10(count + 1.0) - np.log10(n + 1 * (v + 1))
+    end = int(np.searchsorted(words, U64.type(END_KEY)))
+    n_tokens = np.array([t.count(b" ") + 1 if t else 0 for t in texts])
+    at = Lookup(words).places(token_keys(texts))
+    base, known = np.full(len(texts), logs[end]), np.full(len(texts), int(count[end] > 0))
+    full = np.flatnonzero(n_tokens)
+    if len(full):
+        first = np.cumsum(n_tokens)[full] - n_tokens[full]
+        base[full] += np.add.reduceat(logs[at], first)
+        known[full] += np.add.reduceat((count[at] > 0).astype(np.int64), first)
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    find, score, lo = Lookup(grams), np.zeros(len(texts)), 0
+    for code in codes(texts):
+        hi = lo + len(code)
+        some, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi)
+        if len(code):
+            score[some:last] += np.add.reduceat(cost[find.places(code)], np.maximum(starts[some:last], lo) - lo)
+        lo = hi
+    return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": n_tokens + 1, "n_known": known, "train_tokens": n, "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / np.diff(starts)})
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
