@@ -324,8 +324,9 @@ def fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root = hashed(root, texts)
             root[3] = fold(root[3])
             of[host] = induce(of.get(host), root)
-    rows = [(h, json.dumps(w)) for h, w in of.items()]
-    yield pd.DataFrame({"host": [h for h, _ in rows], "salt": [zlib.crc32(w.encode()) % 64 for _, w in rows], "wrapper": [w for _, w in rows]})
+    rows = [(h, zlib.crc32(w.encode()) % 64, w) for h, w in ((h, json.dumps(w)) for h, w in of.items())]
+    if rows:
+        yield pd.DataFrame(rows, columns=["host", "salt", "wrapper"], dtype=object)
 
 
 def join_wrappers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -369,7 +370,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                         loaded.clear()
                     loaded[s] = json.loads(s)
                 out.append(extract(*parse(h), loaded[s]))
-            yield pd.Series(out, dtype="str")
+            yield pd.Series(out, dtype=object)
 
     out = joined.select("page_id", "url", taken(F.col("html"), F.col("slots")).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
