@@ -16,6 +16,12 @@ are compared. For these, the Hamming distances to the REFERENCES are tabulated o
 
 Links join into components whose id is the least doc_id.
 
+Two bits are a link that a change of one word in a hundred already exceeds, and a 64-bit fingerprint
+can't be searched at the ten bits or more that a similarity of 0.8 needs without comparing large
+parts of the corpus. So copies(), which the pipeline uses, adds pairs of texts that share a key of
+minimum hashes of 5-word shingles; the pivots discard what fingerprints rule out, and the exact
+Jaccard similarity of the shingle sets decides.
+
 Defined results: null text or one without words: fingerprint zero, linked like any other. Fewer
 than three words: one shingle of all. Repeated rows: equal results for each. A null doc_id takes
 part in links; a group without any doc_id has a null component_id. Empty table: empty result.
@@ -33,9 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, maybe_broadcast
 
 RADIUS = 2
+#: What copies() takes: Jaccard similarity of 5-word shingles; BANDS keys of ROWS minimum hashes, which two texts of
+#: similarity 0.8 share with a probability of 1 - (1 - 0.8^4)^20 > 0.9999; and a radius that 0.8 exceeds once in a million.
+SIMILARITY, BANDS, ROWS, NEIGHBOURS, LARGE, LOOSE_RADIUS = 0.8, 20, 4, 7, 4096, 24
+_RNG = np.random.default_rng(9)
+FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 #: First bit and width of each range.
 RANGES = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -49,22 +61,32 @@ REFERENCES = [signed(((1 << (i + 1)) - 1) << at) for at, width in RANGES for i i
 PIVOTS = [0] + [signed(((1 << width) - 1) << at) for at, width in RANGES] + [0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F]
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint as a signed number."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() know ASCII only
-    if not words:
-        return 0
-    if len(words) < 3:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    else:
-        h, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = np.fromiter((h(join(t), 42) for t in zip(words, words[1:], words[2:], strict=False)), np.uint64, len(words) - 2)
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each run of `size` words; of all words together if there are fewer; none without words."""
+    h, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < size:
+        return np.array([h(join(words), 42)] if words else [], np.uint64)
+    runs = zip(*[words[i:] for i in range(size)], strict=False)
+    return np.fromiter((h(join(t), 42) for t in runs), np.uint64, len(words) - size + 1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() know ASCII only
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """The 64-bit fingerprint as a signed number."""
+    return majority(shingle_hashes(words_of(text), size))
+
+
 def fingerprints(text: Column) -> Column:
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,14 +130,18 @@ def links(fps: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id of every document."""
     marked = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    reps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    return marked.join(classed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))), "fp").select("doc_id", "fp", "component_id")
+
+
+def classed(fps: DataFrame) -> DataFrame:
+    """fps (fp, rep) -> fp, component_id: the least rep that links reach."""
+    reps = cut(fps)
     pairs = cut(links(reps))
     # Components run over fingerprints, which are never null; the least doc_id of each follows from reps.
     roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = known.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return known.join(least, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -123,13 +149,101 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
+    """Fingerprints of 3-word and of 5-word shingles, a hash of the words, and BANDS keys of ROWS minimum hashes each."""
+    words = words_of(text)
+    key = signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
+    hashes = shingle_hashes(words, 5)
+    if not words:
+        return 0, 0, key, []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * FACTORS[None, :] + SHIFTS[None, :]).min(axis=0))
+    bands = np.zeros(BANDS, np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        bands = (bands ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        bands ^= bands >> np.uint64(29)
+    return majority(shingle_hashes(words, 3)), majority(hashes), key, bands.view(np.int64).tolist()
+
+
+def sketches(text: Column) -> Column:
+    @F.pandas_udf("fp long, fp5 long, key long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([sketch(t) for t in s], columns=["fp", "fp5", "key", "bands"])
+
+    return of(text)
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """texts (key, fp5, bands) -> pairs (a, b) that share a band's key and survive the pivots.
+
+    In a bucket each text meets the least one, and its next NEIGHBOURS in the order of fingerprints:
+    up to NEIGHBOURS + 1 texts meet all others; above, rows grow with the bucket, not with its
+    square, and the buckets of all bands together connect a group. Those of over LARGE texts are
+    ordered in parts.
+    """
+    rows = texts.select("key", "fp5", F.posexplode("bands").alias("band", "bk"))
+    centre = rows.groupBy("band", "bk").agg(F.min(F.struct("key", "fp5")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = rows.join(centre, ["band", "bk"])
+    stars = shared.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("c.key").alias("b"), F.col("c.fp5").alias("fb"))
+    part = F.pmod("key", F.ceil(F.col("n") / LARGE))
+    order = W.partitionBy("band", "bk", part).orderBy("fp5", "key")
+    nexts = F.filter(F.array(*[F.lead(F.struct("key", "fp5"), k).over(order) for k in range(1, NEIGHBOURS + 1)]), lambda o: o.isNotNull())
+    chains = shared.select("key", "fp5", nexts.alias("next")).select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.explode("next").alias("o")).select("a", "fa", F.col("o.key").alias("b"), F.col("o.fp5").alias("fb"))
+    both = stars.unionByName(chains).where("a <> b")
+    for p in PIVOTS:
+        far = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(p).cast("long")))  # noqa: B023, E731
+        both = both.where(F.abs(far("fa") - far("fb")) <= LOOSE_RADIUS)
+    both = both.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= LOOSE_RADIUS)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs of texts (key, doc_id, fp5, bands) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
+    pairs = cut(candidates(texts))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id"), "key")
+    nodes = cut(nodes.select("key", F.col("doc_id").alias("node_id")))
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
+
+    # A doc_id may stand for several texts; a set belongs to the text whose words have its key.
+    known = F.pandas_udf(lambda s: pd.Series([signed(xxhash.xxh64_intdigest(b" ".join(words_of(t)), 7)) for t in s], dtype="int64"), "long")
+    own = docs.select("doc_id", "text").join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node_id")).where(known(F.col("text")) == F.col("key"))
+    sets = cut(own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+
+
+def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, group_id (the least doc_id) of every document with a doc_id.
+
+    Groups are joined by the fingerprints' links and by texts whose 5-word shingles are similar.
+    """
+    marked = cut(docs.select("doc_id", sketches(F.col("text")).alias("s")).where(F.col("doc_id").isNotNull()).select("doc_id", "s.*"))
+    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp5").alias("fp5"), F.first("bands").alias("bands")))
+    classes = classed(texts.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    by_class = texts.join(classes, "fp").select("key", "component_id")
+    least = by_class.groupBy("component_id").agg(F.min("key").alias("b"))
+    edges = by_class.join(least, "component_id").select(F.col("key").alias("a"), "b").where("a <> b").unionByName(similar(docs, texts, similarity))
+    roots = components(edges)
+    named = texts.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    group = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    of = named.join(group, "root").select("key", "group_id")
+    return marked.select("doc_id", "key").join(of, "key").select("doc_id", "group_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the least doc_id; of rows repeating a doc_id one stays.
+    """docs with one document of each group of copies(), that of the least doc_id; of rows repeating a doc_id one stays.
 
     Rows without a doc_id can't be named by the result and all stay.
     """
     keep, nth = "__simhash_keep", "__simhash_nth"
-    chosen = groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id", F.lit(True).alias(keep)).distinct()
+    chosen = copies(docs).where(F.col("doc_id") == F.col("group_id")).select("doc_id", F.lit(True).alias(keep)).distinct()
     out = docs.join(chosen, "doc_id", "left").where(F.col(keep) | F.col("doc_id").isNull())
     once = W.partitionBy("doc_id").orderBy(F.length("text"), "text")
     out = out.withColumn(nth, F.row_number().over(once)).where((F.col(nth) == 1) | F.col("doc_id").isNull())

@@ -238,15 +238,16 @@ def test_templates(spark):
     other = ITEM.replace("Berlin", "Madrid").replace("Anna", "Maria").replace("9 ", "14 ").replace("35", "50").replace("120", "999")
     mixed_up = other.replace("14 remain", "77 remain").replace("near Madrid", "near Lisbon")
     filler = " ".join(random.Random(1).choices("lorem ipsum dolor sit amet elit sed do tempor".split(), k=200))
-    rows = [(1, f"{filler}. {ITEM}. {filler}"), (2, f"{filler}\n{other}\n{filler}"), (3, f"{filler} {filler}"), (4, ITEM.upper()), (5, " ".join(ITEM.split()[:9])), (6, None), (7, mixed_up)]
+    part = " ".join(ITEM.split()[:24])
+    rows = [(8, ITEM.upper()), (9, f"{filler} {ITEM.lower()}"), (12, f"{filler} {part} {filler}"), (13, ITEM.replace("apples", "pears")), (1, f"{filler}. {ITEM}. {filler}"), (2, f"{filler}\n{other}\n{filler}"), (3, f"{filler} {filler}"), (4, ITEM[::-1]), (5, " ".join(ITEM.split()[:9])), (6, None), (7, mixed_up)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM), (11, "one two"), (12, None)], "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.flag(docs, bench).collect()}
-    assert [i for i in got if got[i].contaminated] == [1, 2] or sorted(i for i in got if got[i].contaminated) == [1, 2]
+    assert sorted(i for i in got if got[i].contaminated) == [1, 2, 7, 8, 9, 12, 13]
     assert got[2].reparameterised and not got[1].reparameterised and got[1].items == [10]
     hits = {r.doc_id: r for r in decontamination.hits(docs, bench).collect()}
     assert hits[7].coverage < hits[2].coverage  # slots that disagree with each other don't count
-    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [3, 4, 5, 6]
 
 
 def test_planted_passages_are_found(spark, sf):
@@ -423,6 +424,63 @@ def test_links_lose_nothing(spark, seed):
     assert len(got) == len(want) and {frozenset(p) for p in got} == want
 
 
+def brute_groups(texts):
+    """The components of texts linked by two bits, or by the 5-word shingles' similarity of 0.8."""
+    fps, sets = {i: brute_fingerprint(t) for i, t in texts.items()}, {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    roots, root = brute_components(fps), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    by = {}
+    for i in ids:
+        for s in sets[i]:
+            by.setdefault(s, []).append(i)
+    met = {(a, b) for v in by.values() for a in v for b in v if a < b}
+    for a, b in [*met, *roots.items()]:
+        if roots[a] == b or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_copies(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts, i = {}, 0
+    for _ in range(30):
+        base = rnd.choices(words, k=rnd.randint(8, 250))
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rnd.randint(0, max(1, len(t) // 25))):
+                t[rnd.randrange(len(t))] = rnd.choice(words)
+            i += 1
+            texts[i] = " ".join(t)
+    got = {r.doc_id: r.group_id for r in simhash.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute_groups(texts)
+    assert sum(got[i] != want[i] for i in texts) == 0
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(2000):
+        t = list(base)
+        t[rnd.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.group_id for r in simhash.copies(docs).collect()} == {0}
+    texts = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.*")
+    assert simhash.candidates(texts).count() <= 2000 * simhash.BANDS * (1 + simhash.NEIGHBOURS)
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 3), (9, 5), (1, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -461,7 +519,7 @@ def test_pipeline_keeps_clean_documents(spark, sf, rows):
     kept = corpus_pipeline.identify_language(spark, docs, sf)
     assert kept.count() >= 0.99 * len(rows)
     one = corpus_pipeline.drop_near_duplicates(spark, kept, sf)
-    comp = brute_components({r.doc_id: brute_fingerprint(r.text) for r in kept.collect()})
+    comp = brute_groups({r.doc_id: r.text for r in kept.collect()})
     assert {r.doc_id for r in one.collect()} == set(comp.values())
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:2] == ["doc_id", "shard"] and 0 < out.select("doc_id").distinct().count() <= one.count()
