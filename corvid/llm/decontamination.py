@@ -3,8 +3,9 @@
 A text becomes tokens: numbers, units after numbers and names (a capital and small letters within
 a sentence) become typed placeholders, all else is lower-cased and loses its punctuation. Windows
 of WINDOW tokens with at least LITERALS literal tokens are hashed and joined with the windows of
-the benchmark's items. An item is in a document if at least SIMILARITY of its distinct windows are
-found there; items shorter than a window count as one window.
+the benchmark's items, which stand there with their names as placeholders and as plain words, so
+that texts in capitals or small letters match too. An item is in a document if windows found there
+cover at least SIMILARITY of its tokens; an item shorter than a window is one window.
 
 Slot consistency: a found window pairs the item's slot values with the document's. In a true
 re-parameterisation a value of the item always turns into the same value; windows that disagree
@@ -34,12 +35,12 @@ UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb lbs ml cl dl l s sec min h hr
 MARK = "\u0001"
 
 
-def marked(text: Column) -> Column:
-    """Tokens of a text; placeholders are `#`, `~` or `@` (number, unit, name), MARK and the value."""
+def marked(text: Column, names: bool = True) -> Column:
+    """Tokens of a text; placeholders are `#`, `~` or `@` (number, unit, name), MARK and the value. Without names these stay literal."""
     out = F.coalesce(text, F.lit(""))
     out = F.regexp_replace(out, "[\\u0000-\\u0008#~@]", " ")
     name = "(?<=[^.!?:\\s][ \\t])\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])"
-    out = F.regexp_replace(out, name, f" @{MARK}$0 ")
+    out = F.regexp_replace(out, name, f" @{MARK}$0 ") if names else out
     out = F.regexp_replace(out, "\\p{N}++(?:[.,:/]\\p{N}++)*+", f" #{MARK}$0 ")
     out = F.lower(out)
     out = F.regexp_replace(out, f"(#{MARK}[^ ]++ *+)({'|'.join(UNITS.split())})(?![\\p{{L}}\\p{{N}}])", f"$1 ~{MARK}$2 ")
@@ -53,7 +54,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spots(text: Column, sieve: Column | None) -> Column:
+def spots(text: Column, sieve: Column | None, names: bool = True) -> Column:
     """Array of struct(n, pos, hash, own, literals): the windows of a text that pass the sieve, own their tokens."""
 
     def passes(hash_: Column) -> Column:
@@ -68,14 +69,14 @@ def spots(text: Column, sieve: Column | None) -> Column:
         return F.when(F.size(m) > 0, own)
 
     hashes = lambda m: F.transform(m, lambda t: F.xxhash64(F.when(F.substring(t, 2, 1) == MARK, F.substring(t, 1, 1)).otherwise(t)))
-    return let(marked(text), lambda m: let(hashes(m), lambda h: found(m, h)))
+    return let(marked(text, names), lambda m: let(hashes(m), lambda h: found(m, h)))
 
 
-def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None = None) -> DataFrame:
-    """key, n (tokens), hash, slots (the values of the window's placeholders by their place)."""
-    out = rows.select(key, F.explode(spots(text, sieve)).alias("x")).select(key, "x.n", "x.hash", "x.own")
+def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None = None, names: bool = True) -> DataFrame:
+    """key, n (tokens), pos, hash, slots (the values of the window's placeholders by their place)."""
+    out = rows.select(key, F.explode(spots(text, sieve, names)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.own")
     slots = F.transform("own", lambda t: F.when(F.substring(t, 2, 1) == MARK, F.substring(t, 3, 1 << 30)))
-    out = out.select(key, "n", "hash", slots.alias("slots"))
+    out = out.select(key, "n", "pos", "hash", slots.alias("slots"))
     return out.where((F.size(F.filter("slots", lambda t: t.isNull())) >= LITERALS) | (F.col("n") < WINDOW))
 
 
@@ -88,25 +89,28 @@ def sieve_of(bench: DataFrame) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_found, coverage, n_slots, n_changed for every item at least one window of which is found."""
+    """doc_id, item_id, n_tokens (of the item), n_found (in windows that are found), coverage, n_slots, n_changed for every item at least one window of which is found."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
-    bench = cut(window_rows(items, "item_id", F.col("text")))
-    size = bench.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
+    bench = cut(window_rows(items, "item_id", F.col("text")).unionByName(window_rows(items, "item_id", F.col("text"), names=False)).distinct())
+    size = bench.groupBy("item_id").agg(F.max("n").alias("n_tokens"))
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     found = window_rows(own, "doc_id", F.col("text"), sieve_of(bench)).select("doc_id", "hash", "slots")
-    theirs = maybe_broadcast(bench.select("item_id", "hash", F.col("slots").alias("given")), bench.count())
-    pairs = cut(found.join(theirs, "hash").groupBy("doc_id", "item_id", "hash", "given", "slots").agg(F.count(F.lit(1)).alias("times")))
+    theirs = maybe_broadcast(bench.select("item_id", "pos", "hash", F.col("slots").alias("given")), bench.count())
+    key = ["doc_id", "item_id", "pos", "hash"]
+    pairs = cut(found.join(theirs, "hash").groupBy(*key, "given", "slots").agg(F.count(F.lit(1)).alias("times")))
     pair = F.explode(F.filter(F.arrays_zip("given", "slots"), lambda z: z["given"].isNotNull())).alias("z")
-    votes = pairs.select("doc_id", "item_id", "hash", "slots", pair).select("doc_id", "item_id", "hash", F.col("slots").alias("whole"), F.col("z.given").alias("g"), F.col("z.slots").alias("s"))
-    usual = votes.groupBy("doc_id", "item_id", "g", "s").agg(F.countDistinct("hash").alias("v")).groupBy("doc_id", "item_id", "g").agg(F.max_by("s", F.struct("v", "s")).alias("usual"))
-    odd = votes.join(usual, ["doc_id", "item_id", "g"]).where(F.col("s") != F.col("usual")).select("doc_id", "item_id", "hash", F.col("whole").alias("slots")).distinct()
-    # The key's slots may hold nulls, so they are compared as text.
-    as_text = lambda c: F.to_json(F.struct(F.col(c)))
-    good = pairs.withColumn("t", as_text("slots")).join(odd.select("doc_id", "item_id", "hash", as_text("slots").alias("t")), ["doc_id", "item_id", "hash", "t"], "left_anti")
+    votes = pairs.select(*key, F.col("slots").alias("whole"), pair).select(*key, "whole", F.col("z.given").alias("g"), F.col("z.slots").alias("s"))
+    usual = votes.groupBy("doc_id", "item_id", "g", "s").agg(F.countDistinct("pos").alias("v")).groupBy("doc_id", "item_id", "g").agg(F.max_by("s", F.struct("v", "s")).alias("usual"))
+    # Slots hold nulls, so they are compared as text.
+    as_text = lambda c: F.to_json(F.struct(F.col(c).alias("slots"))).alias("t")
+    odd = votes.join(usual, ["doc_id", "item_id", "g"]).where(F.col("s") != F.col("usual")).select(*key, as_text("whole")).distinct()
+    good = pairs.withColumn("t", as_text("slots")).join(odd, [*key, "t"], "left_anti")
     changed = F.size(F.filter(F.arrays_zip("given", "slots"), lambda z: z["given"].isNotNull() & (z["given"] != z["slots"])))
     slots = F.size(F.filter("given", lambda g: g.isNotNull()))
-    out = good.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_found"), F.sum(slots).alias("n_slots"), F.sum(changed).alias("n_changed"))
-    return out.join(maybe_broadcast(size, size.count()), "item_id").select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "n_slots", "n_changed")
+    spans = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + WINDOW - 1))))  # at most an item's places
+    out = good.groupBy("doc_id", "item_id").agg(spans.alias("places"), F.sum(slots).alias("n_slots"), F.sum(changed).alias("n_changed"))
+    out = out.join(maybe_broadcast(size, size.count()), "item_id").withColumn("n_found", F.least(F.size("places"), F.col("n_tokens")))
+    return out.select("doc_id", "item_id", "n_tokens", "n_found", (F.col("n_found") / F.col("n_tokens")).alias("coverage"), "n_slots", "n_changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
