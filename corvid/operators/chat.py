@@ -31,9 +31,9 @@ def dashboard(log: DataFrame) -> DataFrame:
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str, group: str) -> DataFrame:
     """The candidates that aren't seen; a group all of which is seen comes back whole."""
-    marked = candidates.join(seen.select(key).distinct().withColumn("__s", F.lit(True)), key, "left")
-    left = F.sum(F.when(F.col("__s").isNull(), 1).otherwise(0)).over(W.partitionBy(group))
-    return marked.withColumn("__l", left).where(F.col("__s").isNull() | (F.col("__l") == 0)).drop("__s", "__l")
+    left = candidates.join(seen.select(key).distinct(), key, "left_anti")
+    open_ = left.select(group).distinct()
+    return left.unionByName(candidates.join(open_, group, "left_anti"))
 
 
 def reachable(edges: DataFrame, start: str) -> DataFrame:

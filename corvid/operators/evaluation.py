@@ -173,16 +173,24 @@ def threshold_sweep(scores: DataFrame, steps: int = 60, margin: float = 0.1) ->
     return out.withColumn("f1", f1_of(F.col("precision"), F.col("recall")))
 
 
-def curve(scores: DataFrame) -> DataFrame:
-    """scores (score, actual 0/1) -> score, tp, fp, p, n: cumulative counts by descending distinct score.
+def curve(scores: DataFrame, slices: int = 256) -> DataFrame:
+    """scores (score, actual 0/1) -> score, y, c, tp, fp, p, n: cumulative counts by descending distinct score.
 
-    Counts are combined by score before the ordered sum, which reads a row a distinct score.
+    Counts are combined by score first. The running sums then go slice by slice: quantiles cut the
+    scores into slices, the slices' totals (a few hundred rows) give each its start, and tasks sum
+    their slices on their own.
     """
     per = scores.groupBy("score").agg(F.sum(F.col("actual").cast("long")).alias("y"), F.count(F.lit(1)).alias("c"))
-    down = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    out = per.withColumn("tp", F.sum("y").over(down)).withColumn("fp", F.sum(F.col("c") - F.col("y")).over(down))
-    whole = W.partitionBy()
-    return out.select("score", "tp", "fp", F.sum("y").over(whole).alias("p"), F.sum(F.col("c") - F.col("y")).over(whole).alias("n"))
+    cuts = sorted(set(per.approxQuantile("score", [i / slices for i in range(1, slices)], 0.001) or []))
+    at = F.array_position(F.transform(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda x: F.col("score") <= x), True).cast("int")
+    per = per.withColumn("slice", F.when(at == 0, F.lit(len(cuts) + 1)).otherwise(at))
+    total = per.groupBy("slice").agg(F.sum("y").alias("sy"), F.sum("c").alias("sc"))
+    above = W.orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    zero, whole = F.lit(0).cast("long"), W.partitionBy()
+    start = total.select("slice", F.coalesce(F.sum("sy").over(above), zero).alias("y0"), F.coalesce(F.sum("sc").over(above), zero).alias("c0"), F.sum("sy").over(whole).alias("p"), F.sum("sc").over(whole).alias("all"))
+    down = W.partitionBy("slice").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    out = per.join(F.broadcast(start), "slice").withColumn("tp", F.sum("y").over(down) + F.col("y0")).withColumn("said", F.sum("c").over(down) + F.col("c0"))
+    return out.select("score", "y", "c", "tp", (F.col("said") - F.col("tp")).alias("fp"), "p", (F.col("all") - F.col("p")).alias("n"))
 
 
 def roc(scores: DataFrame) -> DataFrame:
@@ -191,12 +199,11 @@ def roc(scores: DataFrame) -> DataFrame:
 
 
 def areas(scores: DataFrame) -> DataFrame:
-    """auc (trapezoids) and average_precision."""
-    down = W.orderBy(F.col("score").desc())
-    rows = curve(scores).withColumn("tpr", guarded(F.col("tp"), F.col("p"))).withColumn("fpr", guarded(F.col("fp"), F.col("n"))).withColumn("prec", guarded(F.col("tp"), F.col("tp") + F.col("fp")))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    rows = rows.withColumn("t0", before("tpr")).withColumn("f0", before("fpr"))
-    return rows.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"), F.round(F.sum((F.col("tpr") - F.col("t0")) * F.col("prec")), 6).alias("average_precision"))
+    """auc (trapezoids) and average_precision; a point's predecessor follows from its own counts."""
+    c = F.col
+    rows = curve(scores).withColumn("t1", guarded(c("tp"), c("p"))).withColumn("f1", guarded(c("fp"), c("n"))).withColumn("prec", guarded(c("tp"), c("tp") + c("fp")))
+    rows = rows.withColumn("t0", guarded(c("tp") - c("y"), c("p"))).withColumn("f0", guarded(c("fp") - c("c") + c("y"), c("n")))
+    return rows.agg(F.round(F.sum((c("f1") - c("f0")) * (c("t1") + c("t0")) / 2), 6).alias("auc"), F.round(F.sum((c("t1") - c("t0")) * c("prec")), 6).alias("average_precision"))
 
 
 # Columns of figures ----------------------------------------------------------------------------

@@ -33,19 +33,33 @@ def without_leaks(rows: DataFrame, key: Column, split: str = "split", order: Seq
     return keep_first(rows, key, [prio, F.col("id")])
 
 
-def ratio_split(rows: DataFrame, key: Column, shares: Sequence[tuple[str, float]], seed: str = "42") -> DataFrame:
-    """rows with split by cumulative shares of a fixed order; counted in 4096 slices of the order, so no task ranks all rows."""
+def numbered(rows: DataFrame, key: Column, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """rows with __n, the place (from 1) of each row in the fixed order of its `by` group, and __all, the group's rows.
+
+    Places are counted in 4096 slices of the order, so that no task ranks a whole table or a large group.
+    """
     h = order_hash(seed, key)
     out = rows.withColumn("__h", h).withColumn("__s", F.substring(h, 1, 3))
-    per = out.groupBy("__s").agg(F.count(F.lit(1)).alias("c"))
-    per = per.select("__s", (F.sum("c").over(W.orderBy("__s")) - F.col("c")).alias("__before"), F.sum("c").over(W.partitionBy()).alias("__all"))
-    out = out.join(F.broadcast(per), "__s").withColumn("__n", F.row_number().over(W.partitionBy("__s").orderBy("__h", key)) + F.col("__before"))
-    test, upto = None, 0.0
+    per = out.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*by).orderBy("__s"))
+    per = per.select(*by, "__s", (upto - F.col("__c")).alias("__before"), F.sum("__c").over(W.partitionBy(*by)).alias("__all"))
+    if by:
+        same = [F.col(f"__p.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in [*by, "__s"]]
+        out = out.alias("__r").join(per.alias("__p"), same).select("__r.*", "__p.__before", "__p.__all")
+    else:
+        out = out.join(F.broadcast(per), "__s")  # at most 4096 rows
+    nth = F.row_number().over(W.partitionBy(*by, "__s").orderBy("__h", key))
+    return out.withColumn("__n", nth + F.col("__before")).drop("__h", "__s", "__before")
+
+
+def ratio_split(rows: DataFrame, key: Column, shares: Sequence[tuple[str, float]], seed: str = "42") -> DataFrame:
+    """rows with split by cumulative shares of a fixed order."""
+    out, test, upto = numbered(rows, key, seed), None, 0.0
     for name, share in shares[:-1]:
         upto += share
         cond = F.col("__n") <= F.floor(F.col("__all") * F.lit(round(upto, 9)))
         test = F.when(cond, name) if test is None else test.when(cond, name)
-    return out.withColumn("split", test.otherwise(shares[-1][0])).drop("__h", "__s", "__before", "__all", "__n")
+    return out.withColumn("split", test.otherwise(shares[-1][0])).drop("__all", "__n")
 
 
 def group_split(rows: DataFrame, group: Sequence[str], shares: Sequence[tuple[str, float]], seed: str = "42") -> DataFrame:
@@ -57,14 +71,13 @@ def group_split(rows: DataFrame, group: Sequence[str], shares: Sequence[tuple[st
 
 def stratified(rows: DataFrame, label: str, key: Column, share: float, seed: str = "42") -> DataFrame:
     """rows with split: the first `share` of each label in a fixed order is test."""
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    no = F.row_number().over(W.partitionBy(label).orderBy(order_hash(seed, key), key))
-    return rows.withColumn("split", F.when(no <= F.floor(n * F.lit(share)), "test").otherwise("train"))
+    out = numbered(rows, key, seed, [label])
+    return out.withColumn("split", F.when(F.col("__n") <= F.floor(F.col("__all") * F.lit(share)), "test").otherwise("train")).drop("__n", "__all")
 
 
 def folds(rows: DataFrame, label: str, key: Column, k: int = 5, seed: str = "42") -> DataFrame:
     """rows with fold, 0 to k - 1, even within each label."""
-    return rows.withColumn("fold", (F.row_number().over(W.partitionBy(label).orderBy(order_hash(seed, key), key)) - 1) % k)
+    return numbered(rows, key, seed, [label]).withColumn("fold", ((F.col("__n") - 1) % k).cast("int")).drop("__n", "__all")
 
 
 def near_duplicates(rows: DataFrame, text: str = "text", threshold: float = 0.92) -> DataFrame:
@@ -109,15 +122,14 @@ def audit(rows: DataFrame, labels: Sequence[str], least: int = 15) -> DataFrame:
     """rows (id, text, label, split) -> id, issue: one row for each rule that a row breaks."""
     key = space_key(F.col("text"))
     base = rows.withColumn("key", key)
-    per_split = W.partitionBy("split", "key").orderBy("id")
-    marked = base.withColumn("nth", F.row_number().over(per_split))
+    marked = base.join(base.groupBy("split", "key").agg(F.min("id").alias("first")), ["split", "key"], "left")
     leaks = base.groupBy("key").agg(F.countDistinct("split").alias("n")).where("n > 1").select("key", F.lit(True).alias("leak"))
     marked = marked.join(leaks, "key", "left")
     rules = {
         "unknown label": ~F.coalesce(F.col("label").isin(*labels), F.lit(False)),
         "empty text": F.coalesce(F.trim("text") == "", F.lit(True)),
         "short text": F.length(F.trim("text")) < least,
-        "duplicate in split": F.col("nth") > 1,
+        "duplicate in split": F.col("id") != F.col("first"),
         "in several splits": F.coalesce("leak", F.lit(False)),
     }
     issues = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
