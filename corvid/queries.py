@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid import plans, sources, streaming
 from corvid.functions import text as t
 from corvid.functions import vectors as v
-from corvid.operators import chat, hygiene, models, retrieval, routing
+from corvid.operators import chat, hygiene, models, reports, retrieval, routing
 from corvid.operators import evaluation as e
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,6 +661,86 @@ def frequent_templates(spark, sf_dir):
     return hygiene.templates(read(spark, sf_dir, "documents"))
 
 
+# Comparisons, review and samples ---------------------------------------------------------------
+
+CASES = [(1, "easy", False, "liberty", True), (2, "easy", True, "tax", False), (3, "hard", False, "consumer", True), (4, "hard", True, "patent", True), (5, "hard", False, "writ", True)]
+CASE_HITS = [(1, "Life and Liberty", "constitution.pdf"), (1, "other", "x.pdf"), (3, "no word", "CONSUMER_act.pdf"), (5, "nothing", "y.pdf")]
+CASE_NAMES, HIT_NAMES = "qid int, difficulty string, must_reject boolean, keyword string, allowed boolean", "qid int, text string, source string"
+
+
+@query(f"""SELECT difficulty, CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 ELSE 0 END::BIGINT AS place, count(*) AS n, round(avg(CASE WHEN must_reject THEN NOT allowed ELSE EXISTS (SELECT 1 FROM {values(HIT_NAMES, CASE_HITS).replace(' t(', ' h(')} WHERE h.qid = t.qid AND (contains(lower(h.text), lower(keyword)) OR contains(lower(h.source), lower(keyword)))) END::INT), 6) AS share FROM {values(CASE_NAMES, CASES)} GROUP BY difficulty""")
+def benchmark_correctness(spark, sf_dir):
+    return reports.by_difficulty(reports.correctness(rows_of(spark, CASE_NAMES, CASES), rows_of(spark, HIT_NAMES, CASE_HITS)))
+
+
+def arm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two arms: documents stand for questions, sources for models, labels for right answers."""
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    arm = F.explode(F.array(F.struct(F.lit("rag").alias("arm"), F.col("quality").alias("right")), F.struct(F.lit("norag").alias("arm"), F.col("toxic").alias("right")))).alias("a")
+    return rows.select(F.col("source").alias("model"), F.col("doc_id").alias("question"), (F.col("n_chars") % 101).alias("groundedness"), (F.col("n_chars") / 100).alias("seconds"), arm).select("model", "question", "groundedness", "seconds", "a.arm", "a.right")
+
+
+DUCK_ARMS = "a AS (SELECT source AS model, doc_id AS question, n_chars % 101 AS groundedness, n_chars / 100 AS seconds, 'rag' AS arm, quality AS r FROM documents JOIN labels USING (doc_id) UNION ALL SELECT source, doc_id, n_chars % 101, n_chars / 100, 'norag', toxic FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {DUCK_ARMS} SELECT model, arm, count(*) AS n, round(avg(r), 6) AS accuracy, round(avg(seconds), 6) AS seconds, round(avg((groundedness >= 70)::INT), 6) AS sensitivity_proxy FROM a GROUP BY ALL")
+def model_arms(spark, sf_dir):
+    return reports.arms(arm_results(spark, sf_dir))
+
+
+@query(f"WITH {DUCK_ARMS}, s AS (SELECT model, arm, round(avg(r), 6) AS x FROM a GROUP BY ALL) SELECT model, max(x) FILTER (WHERE arm = 'norag') AS norag, max(x) FILTER (WHERE arm = 'rag') AS rag, round(max(x) FILTER (WHERE arm = 'rag') - max(x) FILTER (WHERE arm = 'norag'), 6) AS gain FROM s GROUP BY model")
+def model_grid(spark, sf_dir):
+    return reports.grid(reports.arms(arm_results(spark, sf_dir)))
+
+
+@query("SELECT source AS model, sum((quality = 1 AND toxic = 1)::INT)::BIGINT AS tp, sum((quality = 0 AND toxic = 1)::INT)::BIGINT AS fp, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS fn, sum((quality = 0 AND toxic = 0)::INT)::BIGINT AS tn FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def arm_agreement(spark, sf_dir):
+    return reports.agreement(arm_results(spark, sf_dir))
+
+
+@query("SELECT size, count(*) AS n, round(avg(quality), 6) AS mean FROM (SELECT quality, row_number() OVER (ORDER BY md5('42' || doc_id)) AS no FROM labels) JOIN (VALUES (10), (20), (40), (80)) t(size) ON no <= size GROUP BY size")
+def learning_curve(spark, sf_dir):
+    return reports.learning_curve(read(spark, sf_dir, "labels"), F.col("doc_id"), F.col("quality"), [10, 20, 40, 80])
+
+
+PREFIXES, SUFFIXES = ["Please explain: ", "", "Tell me, "], [" Thanks.", ""]
+
+
+@query(f"SELECT item_id, [{', '.join(map(literal, PREFIXES))}][1 + ('0x' || md5('42' || item_id)[1:2])::INT % 3] || text || [{', '.join(map(literal, SUFFIXES))}][1 + ('0x' || md5('42' || item_id)[3:4])::INT % 2] AS question FROM benchmark")
+def query_variants(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", reports.variation(F.col("text"), F.col("item_id"), PREFIXES, SUFFIXES).alias("question"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_reviews(spark, sf_dir):
+    said = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, " Yes").otherwise("later").alias("decision"))
+    return reports.pending(read(spark, sf_dir, "documents").select("doc_id"), said, "doc_id")
+
+
+@query(f"WITH {DUCK_SPLITS}, k AS (SELECT *, {DUCK_KEY} AS key FROM sp WHERE length(text) >= 150), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM k WHERE split = 'train' AND key NOT IN (SELECT {DUCK_KEY} FROM sp WHERE split <> 'train')) SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42' || id)) AS place FROM f WHERE n = 1) WHERE place <= 20")
+def capped_candidates(spark, sf_dir):
+    rows = with_splits(spark, sf_dir)
+    reserved = rows.where("split <> 'train'").select(t.space_key(F.col("text")).alias("key"))
+    return reports.capped_candidates(rows.where("split = 'train'"), reserved, t.space_key(F.col("text")), "label", 20, hygiene.order_hash("42", F.col("id")), 150).select("id", "label")
+
+
+@query()
+def vector_projection(spark, sf_dir):
+    out = reports.projection(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "label", F.round(F.get("point", F.lit(0)), 6).alias("x"), F.round(F.get("point", F.lit(1)), 6).alias("y"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def whole_documents(spark, sf_dir):
+    return sources.whole_documents(read(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def events_once(spark, sf_dir):
+    log = read(spark, sf_dir, "events")
+    return streaming.once(log.unionByName(log), "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Models and streams ----------------------------------------------------------------------------
 
 
