@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import in_fold, unit_hash
 
-#: About so many rows of each language are learned from, chosen by a hash of doc_id.
-TRAIN_ROWS_PER_LANG = 500
+#: About so many rows of each language, and in all, are learned from, chosen by a hash of doc_id: 16 KB a row.
+TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 500, 6000
 DIM = 1 << 12
 MARGIN = 0.1
 ROUNDS, RATE, L2 = 150, 20.0, 1e-4
@@ -108,11 +108,12 @@ class Ecoc:
 
 
 def learn(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG, seed: int = 10) -> Ecoc:
-    """Learns from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1, about rows_per_lang of each."""
+    """Learns from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1, about rows_per_lang of each and TRAIN_ROWS in all."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Ecoc([], [])
+    rows_per_lang = min(rows_per_lang, max(1, TRAIN_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_lang / n))])
     as_features = F.pandas_udf(lambda s: pd.Series([features(t).tobytes() for t in s]), "binary")
     sample = rows.where(unit_hash(seed, F.col("doc_id")) < share[F.col("lang")]).select("lang", as_features(F.col("text")).alias("x")).collect()

@@ -9,8 +9,8 @@ aligned in the same way, so a host's pages are folded by many tasks, and every p
 
 A wrapper's slots are then judged: by their elements (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), by the share of link text, by the length of their texts, and by whether
-a text stays the same on all of the host's pages. Where the host has an article or main element,
-only slots inside it count. A page is aligned with its host's wrapper, and the texts of the main
+a text stays the same on all of the host's pages. Where a page has an article or main element, or
+one that is named so, only slots inside it count. A page is aligned with its host's wrapper, and the texts of the main
 slots, in page order, are its text.
 
 Defined results: null or empty html: empty text. A null url, or one without a host, belongs to the
@@ -46,6 +46,8 @@ SCOPES = frozenset("table ul ol dl div article section main aside nav header foo
 OUTSIDE = frozenset("head title nav footer aside form menu dialog button fieldset legend".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored sponsors promo promos promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond disqus replies reply pagination pager skip complementary contentinfo search searchbox copyright disclaimer legal paywall tracking".split())
 MAIN = frozenset({"article", "main"})
+#: Words of class, id and role that name main text; in a kind they have a plus.
+MAIN_WORDS = frozenset("article content main post entry story".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Texts that stay the same on so many pages of a host are the template's.
@@ -110,8 +112,9 @@ def parse(html: str | None) -> tuple[list, list[str]]:
             close(tuple(ENDS[name].split()), SCOPES)
         if name in VOID:
             continue
-        marks = {w for a in ATTR.findall(m["attrs"] or "") for w in re.split(r"[^a-z0-9]+", "".join(a).lower()) if w in WORDS}
-        node = [".".join([name, *sorted(marks)]), False, False, [], None]
+        words = {w for a in ATTR.findall(m["attrs"] or "") for w in re.split(r"[^a-z0-9]+", "".join(a).lower())}
+        marks = sorted(words & WORDS) or ["+main"] * bool(words & MAIN_WORDS and name in ("div", "section"))
+        node = [".".join([name, *marks]), False, False, [], None]
         stack[-1][3].append(node)
         if not (m["attrs"] or "").rstrip().endswith("/"):
             stack.append(node)
@@ -244,8 +247,23 @@ def induce(wrapper: list | None, root: list) -> list:
     return merge(wrapper, root) if wrapper else root
 
 
+def in_main(path: tuple[str, ...]) -> bool:
+    return any(k.partition(".")[0] in MAIN or k.endswith(".+main") for k in path)
+
+
+def inside(path: tuple[str, ...]) -> bool:
+    """No element on the path is outside of main text."""
+    for i, kind in enumerate(path):
+        name, *marks = kind.split(".")
+        if name in OUTSIDE or (name == "header" and not in_main(path[:i])):
+            return False
+        if marks and marks != ["+main"] and name not in ("body", "html") and name not in MAIN:
+            return False
+    return True
+
+
 def main_slots(wrapper: list) -> list:
-    """The wrapper with each node's stats replaced: at texts 1 for main slots, else 0."""
+    """The wrapper with, in place of stats, 1 at texts inside main elements, 2 at texts that are main where a page has none of these, else 0."""
     slots: list[tuple[list, tuple[str, ...]]] = []
 
     def walk(node: list, path: tuple[str, ...]) -> None:
@@ -255,37 +273,27 @@ def main_slots(wrapper: list) -> list:
             walk(c, path if c[0] == "#" or c[0].startswith("(") else (*path, c[0]))
 
     walk(wrapper, ())
-
-    def inside(path: tuple[str, ...]) -> bool:
-        for i, kind in enumerate(path):
-            name, *marks = kind.split(".")
-            in_main = any(k.partition(".")[0] in MAIN for k in path[:i])
-            if name in OUTSIDE or (name == "header" and not in_main):
-                return False
-            if marks and name not in ("body", "html") and name not in MAIN:
-                return False
-        return True
-
-    able = [(n, p) for n, p in slots if inside(p)]
-    if any(k.partition(".")[0] in MAIN for _, p in able for k in p):
-        able = [(n, p) for n, p in able if any(k.partition(".")[0] in MAIN for k in p)]
-    else:
-        blocks = re.compile(r"(p|h[1-6]|li|pre|blockquote|td|th|dd|dt|figcaption)\b")
-        able = [(n, p) for n, p in able if n[4][2] * 2 <= n[4][1] and (n[4][1] >= 5 * n[4][0] or (p and blocks.match(p[-1])))]
-    differ = sum(n[4][1] for n, _ in able if n[4][3] is None)
-    same = [n for n, _ in able if n[4][3] is not None and n[4][0] >= SAME_PAGES]
-    drop = {id(n) for n in same} if differ > sum(n[4][1] for n in same) else set()
-    good = {id(n) for n, _ in able if id(n) not in drop}
+    blocks = re.compile(r"(p|h[1-6]|li|pre|blockquote|td|th|dd|dt|figcaption)\b")
+    rank: dict[int, int] = {}
+    for level in (1, 2):
+        able = [n for n, p in slots if inside(p) and in_main(p) == (level == 1)]
+        if level == 2:
+            place = {id(n): p for n, p in slots}
+            able = [n for n in able if n[4][2] * 2 <= n[4][1] and (n[4][1] >= 5 * n[4][0] or (place[id(n)] and blocks.match(place[id(n)][-1])))]
+        differ = sum(n[4][1] for n in able if n[4][3] is None)
+        same = [n for n in able if n[4][3] is not None and n[4][0] >= SAME_PAGES]
+        drop = {id(n) for n in same} if differ > sum(n[4][1] for n in same) else set()
+        rank |= {id(n): level for n in able if id(n) not in drop}
 
     def marked(node: list) -> list:
-        return [node[0], [marked(c) for c in node[3]], int(id(node) in good)]
+        return [node[0], [marked(c) for c in node[3]], rank.get(id(node), 0)]
 
     return marked(wrapper)
 
 
 def extract(root: list, texts: list[str], slots: list) -> str:
     """The texts of a page that its wrapper's main slots take, in page order."""
-    out: list[int] = []
+    out: dict[int, list[int]] = {0: [], 1: [], 2: []}
 
     def walk(children: list, slots: list) -> None:
         # Each child goes to the nearest slot of its kind, from the last one taken on; groups stand for what is in them.
@@ -302,13 +310,12 @@ def extract(root: list, texts: list[str], slots: list) -> str:
             place = max(place, at)
             s = flat[at]
             if c[0] == "#":
-                if s[2]:
-                    out.append(c[4][3])
+                out[s[2]].append(c[4][3])
             else:
                 walk(c[3], s[1])
 
     walk(root[3], slots[1])
-    return "\n".join(texts[i] for i in out)
+    return "\n".join(texts[i] for i in out[1] or out[2])
 
 
 def host_of(url: Column) -> Column:

@@ -165,6 +165,20 @@ def test_wrapper_extraction(spark):
         assert r.text == "\n".join(want) and r.n_chars == len(r.text)
 
 
+def test_hosts_of_several_templates(spark):
+    def html(i):
+        if i % 3 == 0:
+            return page(i)
+        if i % 3 == 1:
+            return f"<body><div id=top-menu><a href=/>Home</a></div><div class='post-content'><h1>T {i}</h1><div>Plain {i} text</div></div><div class=related>More {i}</div>"
+        return f"<table><tr><td><p>Bare {i} paragraph</p></td></tr></table><ul><li><a href=/{i}>Link {i}</a></li></ul>"
+
+    pages = spark.createDataFrame([(i, "https://one.example/x", html(i)) for i in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    assert all(got[i] == (f"T {i}\nPlain {i} text" if i % 3 == 1 else f"Bare {i} paragraph") for i in got if i % 3)
+    assert all(got[i].startswith(f"Title {i} & more\nFirst") for i in got if i % 3 == 0)
+
+
 def test_alignment_finds_optional_and_repeated_groups():
     tree = lambda h: (lambda root, texts: wrappers.fold(wrappers.hashed(root, texts)[3]))(*wrappers.parse(h))
     a, b = tree("<div><p>a<p>b<hr><h2>x</h2></div>"), tree("<div><h2>x</h2><ul><li>1<li>2</ul></div>")
