@@ -16,6 +16,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 100_000
 DISTANCE_LIMIT = 1.35
 NO_DISTANCE = 999.0
+#: The files that Articles and Sections are looked up in.
+ARTICLE_SOURCE, SECTION_SOURCE = "constitution_of_india.pdf", "consumer_protection_act_2019.pdf"
 #: Phrases in a page's first 500 characters that mark tables of contents and schedules.
 NOT_PROVISIONS = ["contents", "seventh schedule", "eighth schedule", "ninth schedule", "tenth schedule", "eleventh schedule", "twelfth schedule", "appendix"]
 
@@ -128,8 +130,8 @@ def exact_provisions(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         listed = listed | F.contains(first, F.lit(phrase))
     numbers = F.array_distinct(F.regexp_extract_all("text", F.lit("(?m)^\\s*(\\d+[A-Za-z]?)\\.\\s+[A-Za-z]"), F.lit(1)))
     rows = chunks.select("cid", "source", "text", listed.alias("listed"), F.explode(numbers).alias("number"))
-    article = (F.col("kind") == "article") & (F.col("domain") == "constitution") & (F.lower("source") == "constitution_of_india.pdf") & ~F.col("listed")
-    section = (F.col("kind") == "section") & (F.col("domain") == "consumer_protection") & (F.lower("source") == "consumer_protection_act_2019.pdf")
+    article = (F.col("kind") == "article") & (F.col("domain") == "constitution") & (F.lower("source") == ARTICLE_SOURCE) & ~F.col("listed")
+    section = (F.col("kind") == "section") & (F.col("domain") == "consumer_protection") & (F.lower("source") == SECTION_SOURCE)
     hits = rows.join(questions.select("qid", "kind", "number", "domain"), "number").where(article | section)
     return hits.select("qid", "cid", F.when(F.col("kind") == "article", provision(F.col("text"), F.col("number"))).otherwise(F.col("text")).alias("text"))
 
