@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from corvid.llm import context_tree, decontamination, language_id, mixing, quotations, ranking, rules, sharding, simhash, wrappers
 from corvid.llm.common import components, table
-from corvid.llm.queries import QUERIES
+from corvid.llm.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,16 +205,19 @@ def test_pages_of_the_tables(spark, sf):
 # 4 ---------------------------------------------------------------------------------------------
 
 
+QUOTED = [
+    (1, 0, "user", "Where is the station?\n\nIt is late."),
+    (1, 1, "assistant", "By the river."),
+    (1, 2, "user", "Something else entirely."),
+    (1, 3, "user", "> by the RIVER\n>> Where is the  station\nWhich river?"),
+    (1, 4, "assistant", "> > By the river.\n> Which river?\n\nThe long one."),
+    (2, 0, "user", "> The long one!\nQuoted from elsewhere."),
+    (2, 1, "user", "> never said\nHm."),
+]
+
+
 def test_quotations(spark):
-    rows = [
-        (1, 0, "user", "Where is the station?\n\nIt is late."),
-        (1, 1, "assistant", "By the river."),
-        (1, 2, "user", "Something else entirely."),
-        (1, 3, "user", "> by the RIVER\n>> Where is the  station\nWhich river?"),
-        (1, 4, "assistant", "> > By the river.\n> Which river?\n\nThe long one."),
-        (2, 0, "user", "> The long one!\nQuoted from elsewhere."),
-        (2, 1, "user", "> never said\nHm."),
-    ]
+    rows = QUOTED
     got = {(r.conv_id, r.turn): r for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 3].parent_turn, got[1, 4].parent_turn, got[2, 0].parent_conv, got[2, 0].parent_turn) == (1, 3, 1, 4)
     assert [got[1, 3].thread_turn, got[1, 4].thread_turn, got[2, 0].thread_turn] == [1, 1, 1]
@@ -224,6 +227,27 @@ def test_quotations(spark):
     assert got[1, 3].n_quotes == 2 and got[1, 3].n_linked == 2 and got[2, 1].n_linked == 0
 
 
+def test_quotations_equal_the_sql(spark, sf, tmp_path):
+    import duckdb
+
+    rnd, rows = random.Random(5), list(QUOTED)
+    lines = ["alpha beta", "gamma.", "Delta epsilon!", "zeta", ""]
+    for conv in range(3, 12):
+        for turn in range(6):
+            rows.append((conv, turn, "user", "\n".join("> " * rnd.choice([0, 0, 1, 2]) + rnd.choice(lines) for _ in range(5))))
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for table_ in (given, table(spark, sf, "conversations")):
+        df = quotations.conversations(table_)
+        con = duckdb.connect()
+        con.register("conversations", table_.toPandas())
+        cur = con.execute(ORACLE["op4_quotation_links"])
+        names = [d[0] for d in cur.description]
+        key = lambda r: tuple((x is None, x) for x in r)
+        want = sorted((tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall()), key=key)
+        got = sorted(map(tuple, df.collect()), key=key)
+        assert [tuple(None if x != x else x for x in r) for r in want] == got
+
+
 def test_long_conversations_get_all_positions(spark):
     many = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     got = quotations.conversations(many).select("turn", "position").collect()
