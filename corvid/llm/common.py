@@ -58,6 +58,11 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """Its columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long): (node, root), root the least node reachable.
 

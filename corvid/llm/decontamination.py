@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import columns_of, cut, maybe_broadcast
 
 WINDOW, LITERALS, SIMILARITY = 5, 2, 0.8
 SIEVE = 1 << 18
@@ -128,4 +128,4 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
     bad = cut(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(maybe_broadcast(bad, bad.count()), "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
+    return docs.join(maybe_broadcast(bad, bad.count()), "doc_id", "left_anti").select(*columns_of(docs))

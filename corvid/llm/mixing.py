@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, maybe_broadcast
+from .common import WORD, columns_of, cut, maybe_broadcast
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -163,7 +163,7 @@ def copies(docs: DataFrame, rows: DataFrame, size: Column, h: Column, names: tup
     tie = (h == F.col("__mix_h_most")) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.col("__mix_id_most")))
     extra = (F.col("__mix_more") > 0) & ((F.col("__mix_more") == F.col("__mix_n")) | (h < F.col("__mix_h_most")) | tie)
     times = F.when(size > 0, F.col("__mix_every") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
-    return joined.select(*[F.col(c) for c in rows.columns], *[c.alias(n) for c, n in zip((size, F.col("__mix_source_size"), F.col("__mix_target"), times), names, strict=True)])
+    return joined.select(*columns_of(rows), *[c.alias(n) for c, n in zip((size, F.col("__mix_source_size"), F.col("__mix_target"), times), names, strict=True)])
 
 
 def hash_of(doc_id: Column) -> Column:
@@ -182,4 +182,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("__mix_words", size_of(F.col("text")))
     out = copies(docs, rows, F.col("__mix_words"), hash_of(F.col("doc_id")), ("__mix_a", "__mix_b", "__mix_c", "__mix_copies"))
     again = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
-    return out.where(F.col("__mix_copies") > 0).select(*[F.col(c) for c in docs.columns], again.alias("__mix_again")).drop("__mix_again")
+    return out.where(F.col("__mix_copies") > 0).select(*columns_of(docs), again.alias("__mix_again")).drop("__mix_again")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, shared_dir
+from .common import columns_of, cut, maybe_broadcast, shared_dir
 
 TARGET_BYTES = 128 << 20
 TIER_BASE = 4
@@ -114,7 +114,7 @@ class Lake:
         for folder in sorted(names):
             raw = self.spark.read.parquet(f"{self.root}/data/{folder}")
             at = F.regexp_extract("_metadata.file_path", f"/data/({folder}/.*)$", 1)
-            parts.append(raw.select(*[F.col(f"`{c}`") for c in raw.columns if c != RUN], at.alias(key)))
+            parts.append(raw.select(*columns_of(raw.drop(RUN)), at.alias(key)))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part, allowMissingColumns=True)

@@ -5,8 +5,8 @@ import pytest
 from corvid.llm import context_tree, decontamination, language_id, mixing, quotations, ranking, rules, sharding, simhash, wrappers
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, h long, fp string, held_out boolean, n_words int, key string, w string, block long"
-EXTRA = (0.5, 1, 2, "x", True, 3, "k", "w", 7)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, h long, fp string, held_out boolean, n_words int, key string, w string, block long, `a.b` int, rep long, band int, copies int, run string"
+EXTRA = (0.5, 1, 2, "x", True, 3, "k", "w", 7, 8, 9, 10, 11, "r")
 WORDS = "the quick brown fox jumps over a lazy dog and runs away from this big bad house".split()
 
 
@@ -20,7 +20,7 @@ def docs(spark):
         (1, text(60), "en", "a", 1, *EXTRA),
         (1, text(60), "en", "a", 1, *EXTRA),
         (2, text(60), "en", "b", 1, *EXTRA),
-        (3, None, None, None, None, *[None] * 9),
+        (3, None, None, None, None, *[None] * 14),
         (4, "", "en", "a", 0, *EXTRA),
         (5, " \n\t ", "de", "b", 0, *EXTRA),
         (6, "12345 !!! ###", "de", "", 1, *EXTRA),
