@@ -20,12 +20,10 @@ equal results for each doc_id. A null doc_id can't be named: it is not reported
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, maybe_broadcast
+from .common import columns_of, cut, let, maybe_broadcast
 
 WINDOW, LITERALS, SIMILARITY = 5, 2, 0.8
 SIEVE = 1 << 18
@@ -49,11 +47,6 @@ def marked(text: Column, names: bool = True) -> Column:
     return F.filter(F.split(out, " "), lambda t: t != "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value evaluated once: a plain column would be copied into each lambda and evaluated per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def spots(text: Column, sieve: Column | None, names: bool = True) -> Column:
     """Array of struct(n, pos, hash, own, literals): the windows of a text that pass the sieve, own their tokens."""
 

@@ -19,23 +19,16 @@ to the links, and get positions of their own in the order of their text. Empty t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 BLOCK = 1024
 QUOTE = "^(?:[ \\t]*+>)++"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]++", " "))
 
