@@ -554,10 +554,10 @@ def template_questions(spark, sf_dir):
     return topics.crossJoin(F.broadcast(forms)).select("label", "topic", F.replace("template", F.lit("{topic}"), F.col("topic")).alias("question"))  # a few templates
 
 
-@query("SELECT n_name AS item, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 10) OR n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 10))")
+@query("SELECT n_name AS item, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) OR n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier))")
 def unseen_items(spark, sf_dir):
     items = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    seen = read(spark, sf_dir, "customer").where("c_custkey <= 10").select(F.col("c_nationkey").alias("n_nationkey"))
+    seen = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
     return chat.unseen(items, seen, "n_nationkey", "n_regionkey").select(F.col("n_name").alias("item"), F.col("r_name").alias("category"))
 
 
