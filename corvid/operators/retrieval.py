@@ -64,11 +64,11 @@ class Bm25:
 
     @classmethod
     def build(cls, chunks: DataFrame) -> Bm25:
-        """chunks (cid, text). One explode; term counts are combined before the shuffle."""
+        """chunks (cid, text). One explode; term counts are combined before the shuffle and kept, since df and search both read them."""
         toks = chunks.select("cid", tokens(F.col("text")).alias("t"))
         dl = toks.select("cid", F.size("t").alias("dl"))
         n, avgdl = dl.agg(F.count(F.lit(1)), F.avg("dl")).first()
-        tf = toks.select("cid", F.explode("t").alias("term")).groupBy("term", "cid").agg(F.count(F.lit(1)).alias("tf"))
+        tf = toks.select("cid", F.explode("t").alias("term")).groupBy("term", "cid").agg(F.count(F.lit(1)).alias("tf")).persist()
         raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).first()[0] or 0.0
         idf = raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
