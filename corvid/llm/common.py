@@ -14,6 +14,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: A table of at most this many narrow rows may be broadcast; larger ones go through a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Edges that a task of components() takes at least.
+PART_EDGES = 50_000
+
+#: Rows in an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> None:
+    """From now on Python workers of df's session get at most BATCH_ROWS texts at once: texts are long, memory is not."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32(doc_id as text) mod by; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by
@@ -74,20 +87,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps: the edges of a component turn into a star
     around its least node in a number of rounds logarithmic in its size. Each round is written to
-    the shared folder. Nodes without an edge don't appear. Empty edges give an empty result.
+    the shared folder, in as many parts as its rows call for, so that small graphs make few files.
+    Nodes without an edge don't appear. Empty edges give an empty result.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == before:
+    n, before = now.count(), None
+    while n:
+        fit = lambda df, k=n // PART_EDGES + 1: df.coalesce(k)
+        both = fit(now).unionByName(fit(now).select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = fit(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = fit(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = fit(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = fit(large.join(least, "u")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        now = cut(fit(small))
+        n, digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if (n, digest) == before:
             break
-        before = state
+        before = n, digest
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

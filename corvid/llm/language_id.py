@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, unit_hash
+from .common import in_fold, small_batches, unit_hash
 
 #: About so many rows of each language, and in all, are learned from, chosen by a hash of doc_id: 16 KB a row.
 TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 500, 6000
@@ -109,6 +109,7 @@ class Ecoc:
 
 def learn(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG, seed: int = 10) -> Ecoc:
     """Learns from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1, about rows_per_lang of each and TRAIN_ROWS in all."""
+    small_batches(docs)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unit_hash
+from .common import cut, small_batches, unit_hash
 
 TREES, SUBSAMPLE, SEED = 100, 256, 1
 KEEP_GOOD, PRIOR, BINS = 0.98, 0.05, 2000
@@ -105,6 +105,7 @@ def graded(c: pd.DataFrame) -> np.ndarray:
 
 def counted_table(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS, written once."""
+    small_batches(docs)
     return cut(docs.select("doc_id", counted(F.col("text")).alias("c")).select("doc_id", "c.*"))
 
 

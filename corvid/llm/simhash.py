@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, maybe_broadcast
+from .common import columns_of, components, cut, maybe_broadcast, small_batches
 
 RADIUS = 2
 #: What copies() takes: Jaccard similarity of 5-word shingles; BANDS keys of ROWS minimum hashes, which two texts of
@@ -74,6 +74,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()  # bytes: lower() and split() know ASCII only
 
 
+def text_key(words: list[bytes]) -> int:
+    return signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
+
+
 def majority(hashes: np.ndarray) -> int:
     """The bits that over half of the hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
@@ -129,6 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id of every document."""
+    small_batches(docs)
     marked = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
     return marked.join(classed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))), "fp").select("doc_id", "fp", "component_id")
 
@@ -152,8 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
     """Fingerprints of 3-word and of 5-word shingles, a hash of the words, and BANDS keys of ROWS minimum hashes each."""
     words = words_of(text)
-    key = signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
-    hashes = shingle_hashes(words, 5)
+    key, hashes = text_key(words), shingle_hashes(words, 5)
     if not words:
         return 0, 0, key, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -175,62 +179,83 @@ def sketches(text: Column) -> Column:
     return of(text)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """texts (key, fp5, bands) -> pairs (a, b) that share a band's key and survive the pivots.
+def plausible(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of pairs (a, fa, b, fb) that survive the pivots and whose fingerprints are near enough."""
+    out = pairs.where("a <> b")
+    for p in PIVOTS:
+        far = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(p).cast("long")))  # noqa: B023, E731
+        out = out.where(F.abs(far("fa") - far("fb")) <= LOOSE_RADIUS)
+    out = out.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= LOOSE_RADIUS)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    In a bucket each text meets the least one, and its next NEIGHBOURS in the order of fingerprints:
-    up to NEIGHBOURS + 1 texts meet all others; above, rows grow with the bucket, not with its
-    square, and the buckets of all bands together connect a group. Those of over LARGE texts are
-    ordered in parts.
-    """
-    rows = texts.select("key", "fp5", F.posexplode("bands").alias("band", "bk"))
+
+def stars(rows: DataFrame) -> DataFrame:
+    """rows (key, fp5, band, bk) -> pairs of each text and the least one of each of its buckets."""
     centre = rows.groupBy("band", "bk").agg(F.min(F.struct("key", "fp5")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(centre, ["band", "bk"])
-    stars = shared.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("c.key").alias("b"), F.col("c.fp5").alias("fb"))
-    part = F.pmod("key", F.ceil(F.col("n") / LARGE))
-    order = W.partitionBy("band", "bk", part).orderBy("fp5", "key")
-    nexts = F.filter(F.array(*[F.lead(F.struct("key", "fp5"), k).over(order) for k in range(1, NEIGHBOURS + 1)]), lambda o: o.isNotNull())
-    chains = shared.select("key", "fp5", nexts.alias("next")).select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.explode("next").alias("o")).select("a", "fa", F.col("o.key").alias("b"), F.col("o.fp5").alias("fb"))
-    both = stars.unionByName(chains).where("a <> b")
-    for p in PIVOTS:
-        far = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(p).cast("long")))  # noqa: B023, E731
-        both = both.where(F.abs(far("fa") - far("fb")) <= LOOSE_RADIUS)
-    both = both.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= LOOSE_RADIUS)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return plausible(shared.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("c.key").alias("b"), F.col("c.fp5").alias("fb")))
 
 
-def similar(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs of texts (key, doc_id, fp5, bands) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
-    pairs = cut(candidates(texts))
+def chains(rows: DataFrame) -> DataFrame:
+    """rows (key, fp5, root, band, bk) -> pairs of texts of different roots within a bucket.
+
+    Each meets its next NEIGHBOURS in the order of fingerprints: up to NEIGHBOURS + 1 texts meet all
+    others; above, pairs grow with the bucket, not with its square. Buckets of one root, as those of
+    a large group of copies soon are, make none; those of over LARGE texts are ordered in parts.
+    """
+    mixed = rows.groupBy("band", "bk").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    shared = rows.join(mixed.drop("lo", "hi"), ["band", "bk"])
+    order = W.partitionBy("band", "bk", F.pmod("key", F.ceil(F.col("n") / LARGE))).orderBy("fp5", "key")
+    own = F.struct("key", "fp5", "root")
+    nexts = F.filter(F.array(*[F.lead(own, k).over(order) for k in range(1, NEIGHBOURS + 1)]), lambda o: o["root"] != F.col("root"))
+    pairs = shared.select("key", "fp5", "root", nexts.alias("next")).select("key", "fp5", F.explode("next").alias("o"))
+    return plausible(pairs.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("o.key").alias("b"), F.col("o.fp5").alias("fb")))
+
+
+def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts (key, doc_id) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
+    pairs = cut(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id"), "key")
     nodes = cut(nodes.select("key", F.col("doc_id").alias("node_id")))
 
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("key long, s array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
+            words = [words_of(t) for t in s]
+            yield pd.DataFrame([(text_key(w), np.unique(shingle_hashes(w, 5)).view(np.int64)) for w in words], columns=["key", "s"])
 
     # A doc_id may stand for several texts; a set belongs to the text whose words have its key.
-    known = F.pandas_udf(lambda s: pd.Series([signed(xxhash.xxh64_intdigest(b" ".join(words_of(t)), 7)) for t in s], dtype="int64"), "long")
-    own = docs.select("doc_id", "text").join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node_id")).where(known(F.col("text")) == F.col("key"))
-    sets = cut(own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
+    own = docs.select("doc_id", "text").join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node_id"))
+    sets = cut(own.select("key", shingles(F.col("text")).alias("u")).where("key = u.key").select("key", "u.s").dropDuplicates(["key"]))
     side = lambda k: sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return cut(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
 
 
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, group_id (the least doc_id) of every document with a doc_id.
 
-    Groups are joined by the fingerprints' links and by texts whose 5-word shingles are similar.
+    Groups are joined by the fingerprints' links and by texts whose 5-word shingles are similar:
+    first each text with the least one of its buckets, then, of what is still apart, neighbours.
     """
+    small_batches(docs)
     marked = cut(docs.select("doc_id", sketches(F.col("text")).alias("s")).where(F.col("doc_id").isNotNull()).select("doc_id", "s.*"))
     texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp5").alias("fp5"), F.first("bands").alias("bands")))
-    classes = classed(texts.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    by_class = texts.join(classes, "fp").select("key", "component_id")
-    least = by_class.groupBy("component_id").agg(F.min("key").alias("b"))
-    edges = by_class.join(least, "component_id").select(F.col("key").alias("a"), "b").where("a <> b").unionByName(similar(docs, texts, similarity))
-    roots = components(edges)
+    rows = texts.select("key", "fp5", F.posexplode("bands").alias("band", "bk"))
+    # Texts of one fingerprint, and linked fingerprints, each by their least text.
+    firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
+    alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("key").alias("a"), F.col("first").alias("b")).where("a <> b")
+    near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select("a", "b")
+    roots = cut(components(alike.unionByName(near).unionByName(similar(docs, texts, stars(rows), similarity))))
+    apart = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    more = similar(docs, texts, chains(apart), similarity)
+    if not more.isEmpty():  # these join whole groups, so only their roots are looked at again
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        higher = cut(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")))
+        known = roots.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        single = higher.select(F.col("root").alias("node"), F.col("top").alias("root"))
+        roots = known.unionByName(single.join(roots.select("node"), "node", "left_anti"))
     named = texts.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     group = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     of = named.join(group, "root").select("key", "group_id")
@@ -247,4 +272,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = docs.join(chosen, "doc_id", "left").where(F.col(keep) | F.col("doc_id").isNull())
     once = W.partitionBy("doc_id").orderBy(F.length("text"), "text")
     out = out.withColumn(nth, F.row_number().over(once)).where((F.col(nth) == 1) | F.col("doc_id").isNull())
-    return out.select(*[F.col(c) for c in docs.columns])
+    return out.select(*columns_of(docs))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Elements whose content is never text, and elements without content.
 RAW = "script style noscript template textarea iframe svg math object canvas video audio select"
@@ -356,6 +356,7 @@ BROADCAST_BYTES = 16 << 20
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
     @F.pandas_udf("string")

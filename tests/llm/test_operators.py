@@ -515,8 +515,10 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.group_id for r in simhash.copies(docs).collect()} == {0}
-    texts = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.*")
-    assert simhash.candidates(texts).count() <= 2000 * simhash.BANDS * (1 + simhash.NEIGHBOURS)
+    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", "s.fp5", F.posexplode("s.bands").alias("band", "bk"))
+    assert simhash.stars(rows).count() <= 2000 * simhash.BANDS
+    assert simhash.chains(rows.withColumn("root", F.lit(1).cast("long"))).count() == 0
+    assert simhash.chains(rows.withColumn("root", F.col("key"))).count() <= 2000 * simhash.BANDS * simhash.NEIGHBOURS
 
 
 def test_components_of_long_chains(spark):
