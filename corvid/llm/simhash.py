@@ -224,6 +224,7 @@ def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: flo
             words = [words_of(t) for t in s]
             yield pd.DataFrame([(text_key(w), np.unique(shingle_hashes(w, 5)).view(np.int64)) for w in words], columns=["key", "s"])
 
+    shingles = shingles.asNondeterministic()  # so that the filter on it doesn't run it twice
     # A doc_id may stand for several texts; a set belongs to the text whose words have its key.
     own = docs.select("doc_id", "text").join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node_id"))
     sets = cut(own.select("key", shingles(F.col("text")).alias("u")).where("key = u.key").select("key", "u.s").dropDuplicates(["key"]))
