@@ -155,9 +155,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
-    """Fingerprints of 3-word and of 5-word shingles, a hash of the words, and BANDS keys of ROWS minimum hashes each."""
+    """Fingerprints of 3-word and of distinct 5-word shingles, a hash of the words, and BANDS keys of ROWS minimum hashes each."""
     words = words_of(text)
-    key, hashes = text_key(words), shingle_hashes(words, 5)
+    key, hashes = text_key(words), np.unique(shingle_hashes(words, 5))  # the similarity is of sets, so a repeat counts once
     if not words:
         return 0, 0, key, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)

@@ -505,6 +505,18 @@ def test_copies(spark):
     assert sum(got[i] != want[i] for i in texts) == 0
 
 
+def test_copies_with_repeated_lines(spark):
+    rnd = random.Random(5)
+    texts = {}
+    for i in range(20):
+        body = [f"b{i}_{k}" for k in range(300)]
+        for j in range(2):
+            line = [f"l{i}_{j}_{k}" for k in range(12)]
+            texts[2 * i + j] = " ".join(body + line * rnd.choice([10, 60]))
+    got = {r.doc_id: r.group_id for r in simhash.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_groups(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_a_large_group_of_near_copies_makes_few_rows(spark):
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(200)]
