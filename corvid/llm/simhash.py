@@ -18,9 +18,11 @@ Links join into components whose id is the least doc_id.
 
 Two bits are a link that a change of one word in a hundred already exceeds, and a 64-bit fingerprint
 can't be searched at the ten bits or more that a similarity of 0.8 needs without comparing large
-parts of the corpus. So copies(), which the pipeline uses, adds pairs of texts that share a key of
-minimum hashes of 5-word shingles; the pivots discard what fingerprints rule out, and the exact
-Jaccard similarity of the shingle sets decides.
+parts of the corpus. So copies(), which the pipeline uses, adds pairs by the exact Jaccard similarity
+of their sets of 5-word shingles. Texts that share a key of minimum hashes are joined first, cheaply
+and not all of them; what that leaves apart is joined by prefixes of the sets, which miss no pair:
+two sets of similarity 0.8 share one of the first shingles of both in any common order, here by
+rising frequency in a sample. The sample decides what the join costs, never what it finds.
 
 Defined results: null text or one without words: fingerprint zero, linked like any other. Fewer
 than three words: one shingle of all. Repeated rows: equal results for each. A null doc_id takes
@@ -39,12 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, cut, maybe_broadcast, small_batches
+from .common import columns_of, components, cut, maybe_broadcast, small_batches, unit_hash
 
 RADIUS = 2
-#: What copies() takes: Jaccard similarity of 5-word shingles; BANDS keys of ROWS minimum hashes, which two texts of
-#: similarity 0.8 share with a probability of 1 - (1 - 0.8^4)^20 > 0.9999; and a radius that 0.8 exceeds once in a million.
+#: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes and LOOSE_RADIUS only
+#: join most copies early; apart() finds the rest.
 SIMILARITY, BANDS, ROWS, NEIGHBOURS, LARGE, LOOSE_RADIUS = 0.8, 20, 4, 7, 4096, 24
+#: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
+SAMPLE, FREQUENT = 10_000, 100_000
 _RNG = np.random.default_rng(9)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -154,12 +158,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
-    """Fingerprints of 3-word and of distinct 5-word shingles, a hash of the words, and BANDS keys of ROWS minimum hashes each."""
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of distinct hashes, in ascending order, the first n - ceil(similarity * n) + 1 by frequency; frequent are hashes in ascending order and their counts."""
+    known, counts = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+
+
+NONE = np.array([], np.uint64), np.array([], np.int64)
+
+
+def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> tuple[int, int, int, list[int], int, list[int]]:
+    """Fingerprints of 3-word and of distinct 5-word shingles, a hash of the words, BANDS keys of ROWS minimum hashes each, and the number and the prefix of the distinct 5-word shingles."""
     words = words_of(text)
     key, hashes = text_key(words), np.unique(shingle_hashes(words, 5))  # the similarity is of sets, so a repeat counts once
     if not words:
-        return 0, 0, key, []
+        return 0, 0, key, [], 0, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1 << 12):
         least = np.minimum(least, (hashes[at : at + (1 << 12), None] * FACTORS[None, :] + SHIFTS[None, :]).min(axis=0))
@@ -167,18 +184,34 @@ def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
     for part in least.reshape(BANDS, ROWS).T:
         bands = (bands ^ part) * np.uint64(0x9E3779B97F4A7C15)
         bands ^= bands >> np.uint64(29)
-    return majority(shingle_hashes(words, 3)), majority(hashes), key, bands.view(np.int64).tolist()
+    return majority(shingle_hashes(words, 3)), majority(hashes), key, bands.view(np.int64).tolist(), len(hashes), prefix(hashes, frequent, similarity).view(np.int64).tolist()
 
 
-def sketches(text: Column) -> Column:
-    @F.pandas_udf("fp long, fp5 long, key long, bands array<long>")
+def sketches(text: Column, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> Column:
+    @F.pandas_udf("fp long, fp5 long, key long, bands array<long>, n int, prefix array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([sketch(t) for t in s], columns=["fp", "fp5", "key", "bands"])
+            yield pd.DataFrame([sketch(t, frequent, similarity) for t in s], columns=["fp", "fp5", "key", "bands", "n", "prefix"])
 
     return of(text)
 
 
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the FREQUENT most frequent 5-word shingles of about SAMPLE texts, chosen by a hash of the text."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
+
+    some = docs.where(unit_hash(9, F.col("text")) < share).select(F.explode(shingles(F.col("text"))).alias("s"))
+    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).collect()
+    known = np.array([r["s"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r["c"] for r in top], np.int64)[order]
+
+
 def plausible(pairs: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) of pairs (a, fa, b, fb) that survive the pivots and whose fingerprints are near enough."""
     out = pairs.where("a <> b")
@@ -212,6 +245,24 @@ def chains(rows: DataFrame) -> DataFrame:
     return plausible(pairs.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("o.key").alias("b"), F.col("o.fp5").alias("fb")))
 
 
+def apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows (key, root, n, prefix) -> every pair (a, b) of texts of different roots that may have the similarity.
+
+    The least shingle that two such sets share is in both prefixes, and there what is left of either
+    set has to hold the whole intersection. All are conditions of the join. A shingle of over LARGE texts is
+    spread over parts; each part meets all of its texts.
+    """
+    own = rows.select("key", "root", "n", F.posexplode("prefix").alias("i", "s"))
+    mixed = cut(own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("s", F.ceil(F.col("c") / LARGE).cast("int").alias("parts")))
+    met = cut(own.join(maybe_broadcast(mixed, mixed.count()), "s"))
+    a = met.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("a")
+    b = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    enough = left * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-6
+    on = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & enough
+    return a.join(b, on).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts (key, doc_id) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
     pairs = cut(pairs)
@@ -233,30 +284,37 @@ def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: flo
     return cut(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
 
 
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots (node, root) after the links more (a, b); these join whole groups, so only their roots are looked at again."""
+    if more.isEmpty():
+        return roots
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    higher = cut(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    known = roots.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    single = higher.select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return cut(known.unionByName(single.join(roots.select("node"), "node", "left_anti")))
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, group_id (the least doc_id) of every document with a doc_id.
 
     Groups are joined by the fingerprints' links and by texts whose 5-word shingles are similar:
-    first each text with the least one of its buckets, then, of what is still apart, neighbours.
+    first each text with the least one of its buckets, then, of what is still apart, neighbours, and
+    at last all pairs of different groups whose prefixes meet.
     """
     small_batches(docs)
-    marked = cut(docs.select("doc_id", sketches(F.col("text")).alias("s")).where(F.col("doc_id").isNotNull()).select("doc_id", "s.*"))
-    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp5").alias("fp5"), F.first("bands").alias("bands")))
+    marked = cut(docs.select("doc_id", sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).where(F.col("doc_id").isNotNull()).select("doc_id", "s.*"))
+    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "fp5", "bands", "n", "prefix")]))
     rows = texts.select("key", "fp5", F.posexplode("bands").alias("band", "bk"))
     # Texts of one fingerprint, and linked fingerprints, each by their least text.
     firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
     alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("key").alias("a"), F.col("first").alias("b")).where("a <> b")
     near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select("a", "b")
     roots = cut(components(alike.unionByName(near).unionByName(similar(docs, texts, stars(rows), similarity))))
-    apart = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = similar(docs, texts, chains(apart), similarity)
-    if not more.isEmpty():  # these join whole groups, so only their roots are looked at again
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        higher = cut(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")))
-        known = roots.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        single = higher.select(F.col("root").alias("node"), F.col("top").alias("root"))
-        roots = known.unionByName(single.join(roots.select("node"), "node", "left_anti"))
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = merged(roots, similar(docs, texts, chains(rooted(rows)), similarity))
+    roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
     named = texts.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     group = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     of = named.join(group, "root").select("key", "group_id")

@@ -517,6 +517,25 @@ def test_copies_with_repeated_lines(spark):
     assert got == brute_groups(texts) == {i: i - i % 2 for i in texts}
 
 
+def test_copies_among_many_texts_of_one_template(spark, monkeypatch):
+    template = [f"t{i}" for i in range(140)]
+    texts = {}
+    for i in range(200):
+        own = [f"o{i}_{k}" for k in range(60)]
+        texts[i] = " ".join(template + own)
+        if i % 20 == 0:  # a copy with its last words changed
+            texts[1000 + i] = " ".join(template + own[:43] + [f"c{i}_{k}" for k in range(17)])
+    for i in range(40):  # 18 shingles, 16 of them in both: a similarity of 0.8 exactly
+        words = [f"s{i}_{k}" for k in range(22)]
+        texts[2000 + i], texts[3000 + i] = " ".join(words), " ".join(words[:20] + ["x", f"y{i}"])
+    none = spark.createDataFrame([], "a long, b long")  # nothing but the exact join
+    monkeypatch.setattr(simhash, "stars", lambda rows: none)
+    monkeypatch.setattr(simhash, "chains", lambda rows: none)
+    monkeypatch.setattr(simhash, "LARGE", 100)
+    got = {r.doc_id: r.group_id for r in simhash.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_groups(texts)
+
+
 def test_a_large_group_of_near_copies_makes_few_rows(spark):
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(200)]
