@@ -9,7 +9,7 @@ aligned in the same way, so a host's pages are folded by many tasks, and every p
 
 A wrapper's slots are then judged: by their elements (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), by the share of link text, by the length of their texts, and by whether
-a text stays the same on all of the host's pages. Where a page has an article or main element, or
+a text outside of articles stays the same on all of the host's pages. Where a page has an article or main element, or
 one that is named so, only slots inside it count. A page is aligned with its host's wrapper, and the texts of the main
 slots, in page order, are its text.
 
@@ -50,7 +50,7 @@ MAIN = frozenset({"article", "main"})
 MAIN_WORDS = frozenset("article content main post entry story".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Texts that stay the same on so many pages of a host are the template's.
+#: Texts outside of articles that stay the same on so many pages of a host are the template's.
 SAME_PAGES = 5
 
 # A node is [kind, optional, repeated, children, stats]. Kinds: an element's name and the words of
@@ -281,7 +281,7 @@ def main_slots(wrapper: list) -> list:
             place = {id(n): p for n, p in slots}
             able = [n for n in able if n[4][2] * 2 <= n[4][1] and (n[4][1] >= 5 * n[4][0] or (place[id(n)] and blocks.match(place[id(n)][-1])))]
         differ = sum(n[4][1] for n in able if n[4][3] is None)
-        same = [n for n in able if n[4][3] is not None and n[4][0] >= SAME_PAGES]
+        same = [n for n in able if level == 2 and n[4][3] is not None and n[4][0] >= SAME_PAGES]  # an article is kept whole
         drop = {id(n) for n in same} if differ > sum(n[4][1] for n in same) else set()
         rank |= {id(n): level for n in able if id(n) not in drop}
 

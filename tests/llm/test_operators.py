@@ -191,6 +191,14 @@ def test_alignment_finds_optional_and_repeated_groups():
     assert [g[0] for g in wrappers.align(groups, tree("<h2>e</h2><p>f</p>"))] == ["(h2 p)"]
 
 
+def test_equal_headings_within_articles_stay(spark):
+    body = lambda i: f"<h1>Dish {i}</h1><p>A long story of dish {i} and how it came</p><h2>Ingredients</h2><ul><li>salt {i}</ul><h2>Method</h2><p>Stir it for {i} minutes and serve</p>"
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<nav>Home</nav><article>{body(i)}</article>") for i in range(9)], "page_id long, url string, html string")
+    for r in wrappers.main_text(pages).collect():
+        i = r.page_id
+        assert r.text.split("\n") == [f"Dish {i}", f"A long story of dish {i} and how it came", "Ingredients", f"salt {i}", "Method", f"Stir it for {i} minutes and serve"]
+
+
 def test_pages_of_the_tables(spark, sf):
     want = {}
     for r in table(spark, sf, "pages").collect():
