@@ -2,10 +2,11 @@
 
 A text becomes tokens: numbers, units after numbers and names (a capital and small letters within
 a sentence) become typed placeholders, all else is lower-cased and loses its punctuation. Windows
-of WINDOW tokens with at least LITERALS literal tokens are hashed and joined with the windows of
-the benchmark's items, which stand there with their names as placeholders and as plain words, so
-that texts in capitals or small letters match too. An item is in a document if windows found there
-cover at least SIMILARITY of its tokens; an item shorter than a window is one window.
+of WINDOW tokens are hashed, on both sides with names as placeholders and as plain words, so that
+texts in capitals or small letters match too, and joined with those of the benchmark's items. Where
+fewer than LITERALS tokens are words even then, the values of placeholders count, so that an exact
+copy always covers its item. An item is in a document if windows found there
+cover at least SIMILARITY of its tokens; an item shorter than a window is one window, looked for anywhere in a text.
 
 Slot consistency: a found window pairs the item's slot values with the document's. In a true
 re-parameterisation a value of the item always turns into the same value; windows that disagree
@@ -37,7 +38,8 @@ def marked(text: Column, names: bool = True) -> Column:
     """Tokens of a text; placeholders are `#`, `~` or `@` (number, unit, name), MARK and the value. Without names these stay literal."""
     out = F.coalesce(text, F.lit(""))
     out = F.regexp_replace(out, "[\\u0000-\\u0008#~@]", " ")
-    name = "(?<=[^.!?:\\s][ \\t])\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])"
+    unit = f"(?<=\\p{{N}}[ \\t])(?i:{'|'.join(UNITS.split())})(?![\\p{{L}}\\p{{N}}])"
+    name = f"(?<=[^.!?:\\s][ \\t])(?!{unit})\\p{{Lu}}\\p{{Ll}}+(?![\\p{{L}}\\p{{M}}\\p{{N}}_])"  # tokens are the same with and without names
     out = F.regexp_replace(out, name, f" @{MARK}$0 ") if names else out
     out = F.regexp_replace(out, "\\p{N}++(?:[.,:/]\\p{N}++)*+", f" #{MARK}$0 ")
     out = F.lower(out)
@@ -47,30 +49,53 @@ def marked(text: Column, names: bool = True) -> Column:
     return F.filter(F.split(out, " "), lambda t: t != "")
 
 
-def spots(text: Column, sieve: Column | None, names: bool = True) -> Column:
-    """Array of struct(n, pos, hash, own, literals): the windows of a text that pass the sieve, own their tokens."""
+def spots(text: Column, sieve: Column | None, sieve_lengths: list[int] | None) -> Column:
+    """Array of struct(n, pos, hash, form, length, own): the windows of a text that pass the sieve, own their tokens.
+
+    Forms: "typed" hashes placeholders by type; "plain" names as words; "value" all placeholders by
+    value, where less than LITERALS tokens are words even so. Items (no sieve_lengths) shorter than
+    WINDOW have one window; documents also have those of sieve_lengths.
+    """
 
     def passes(hash_: Column) -> Column:
         bit = hash_.bitwiseAND(F.lit(SIEVE - 1).cast("long"))
         return F.bit_get(F.get(sieve, F.shiftright(bit, 5).cast("int")), (bit % 32).cast("int")) == 1
 
-    def found(m: Column, h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0)))  # a text shorter than a window has one, its end null
-        all_ = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]).alias("hash")))
-        some = all_ if sieve is None else F.filter(all_, lambda w: passes(w["hash"]))
-        own = F.transform(some, lambda w: F.struct(F.size(m).alias("n"), w["pos"].alias("pos"), w["hash"].alias("hash"), F.slice(m, w["pos"] + 1, F.lit(WINDOW)).alias("own")))
-        return F.when(F.size(m) > 0, own)
-
-    hashes = lambda m: F.transform(m, lambda t: F.xxhash64(F.when(F.substring(t, 2, 1) == MARK, F.substring(t, 1, 1)).otherwise(t)))
-    return let(marked(text, names), lambda m: let(hashes(m), lambda h: found(m, h)))
-
-
-def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None = None, names: bool = True) -> DataFrame:
+    def at(m: Column, length: int) -> Column:
+        """The places of windows of a length; those shorter than WINDOW are an item's only one."""
+        here = F.size(m) == length if sieve_lengths is None and length < WINDOW else F.size(m) >= length
+        return F.when(here, F.sequence(F.lit(0), F.size(m) - length)).otherwise(F.array().cast("array<int>"))
+
+    def all_of(m: Column, h: Column, plain: Column, value: Column, kind: Column) -> Column:
+        parts = []
+        for length in [WINDOW, *(range(1, WINDOW) if sieve_lengths is None else sieve_lengths)]:
+            over = lambda a, i, k=length: F.xxhash64(*[F.get(a, i + j) for j in range(k)])
+            held = lambda i, k=length: sum((F.get(kind, i + j) for j in range(1, k)), F.get(kind, i))
+            few = lambda i, k=length: held(i) >= 16 * max(k - LITERALS + 1, 0)
+            one = lambda i, hash_, form, k=length: F.struct(i.alias("pos"), hash_.alias("hash"), F.lit(form).alias("form"), F.lit(k).alias("length"))
+            parts.append(F.transform(at(m, length), lambda i: one(i, over(h, i), "typed")))  # noqa: B023
+            parts.append(F.transform(F.filter(at(m, length), lambda i: (held(i) % 16 > 0) & ~few(i)), lambda i: one(i, over(plain, i), "plain")))  # noqa: B023
+            parts.append(F.transform(F.filter(at(m, length), lambda i: few(i)), lambda i: one(i, over(value, i), "value")))  # noqa: B023
+        some = F.concat(*parts)
+        some = some if sieve is None else F.filter(some, lambda w: passes(w["hash"]))
+        return F.transform(some, lambda w: F.struct(F.size(m).alias("n"), w["pos"].alias("pos"), w["hash"].alias("hash"), w["form"].alias("form"), w["length"].alias("length"), F.slice(m, w["pos"] + 1, w["length"]).alias("own")))
+
+    is_slot = lambda t: F.substring(t, 2, 1) == MARK
+    is_name = lambda t: F.substring(t, 1, 2) == "@" + MARK
+    typed = lambda m: F.transform(m, lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
+    plain = lambda m: F.transform(m, lambda t: F.xxhash64(F.when(is_name(t), F.substring(t, 3, 1 << 30)).when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
+    value = lambda m: F.transform(m, lambda t: F.xxhash64(F.when(is_name(t), F.substring(t, 3, 1 << 30)).otherwise(t)))
+    kind = lambda m: F.transform(m, lambda t: F.when(is_name(t), 1).when(is_slot(t), 16).otherwise(0))
+    return let(marked(text), lambda m: let(F.struct(typed(m).alias("h"), plain(m).alias("p"), value(m).alias("v"), kind(m).alias("k")), lambda x: all_of(m, x["h"], x["p"], x["v"], x["k"])))
+
+
+def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None = None, sieve_lengths: list[int] | None = None) -> DataFrame:
     """key, n (tokens), pos, hash, slots (the values of the window's placeholders by their place)."""
-    out = rows.select(key, F.explode(spots(text, sieve, names)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.own")
-    slots = F.transform("own", lambda t: F.when(F.substring(t, 2, 1) == MARK, F.substring(t, 3, 1 << 30)))
-    out = out.select(key, "n", "pos", "hash", slots.alias("slots"))
-    return out.where((F.size(F.filter("slots", lambda t: t.isNull())) >= LITERALS) | (F.col("n") < WINDOW))
+    out = rows.select(key, F.explode(spots(text, sieve, sieve_lengths)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.form", "x.length", "x.own")
+    slot = lambda t: F.when((F.substring(t, 2, 1) == MARK) & ((F.col("form") == "typed") | (F.substring(t, 1, 1) != "@")), F.substring(t, 3, 1 << 30))
+    out = out.withColumn("slots", F.transform("own", slot))
+    whole = (F.col("length") < WINDOW) & (F.col("n") == F.col("length"))
+    return out.where((F.col("form") != "typed") | whole | (F.size(F.filter("slots", lambda t: t.isNull())) >= LITERALS)).select(key, "n", "pos", "hash", "slots")
 
 
 def sieve_of(bench: DataFrame) -> Column:
@@ -84,10 +109,11 @@ def sieve_of(bench: DataFrame) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens (of the item), n_found (in windows that are found), coverage, n_slots, n_changed for every item at least one window of which is found."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
-    bench = cut(window_rows(items, "item_id", F.col("text")).unionByName(window_rows(items, "item_id", F.col("text"), names=False)).distinct())
+    bench = cut(window_rows(items, "item_id", F.col("text")).distinct())
+    short = sorted(r["n"] for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect())
     size = bench.groupBy("item_id").agg(F.max("n").alias("n_tokens"))
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    found = window_rows(own, "doc_id", F.col("text"), sieve_of(bench)).select("doc_id", "hash", "slots")
+    found = window_rows(own, "doc_id", F.col("text"), sieve_of(bench), short).select("doc_id", "hash", "slots")
     theirs = maybe_broadcast(bench.select("item_id", "pos", "hash", F.col("slots").alias("given")), bench.count())
     key = ["doc_id", "item_id", "pos", "hash"]
     pairs = cut(found.join(theirs, "hash").groupBy(*key, "given", "slots").agg(F.count(F.lit(1)).alias("times")))

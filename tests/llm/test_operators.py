@@ -296,6 +296,15 @@ def test_templates(spark):
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_exact_copies_of_numbers_and_names_and_short_items(spark):
+    items = [(1, "Calculate 12 + 7 * 3 - 4 / 2 + 9"), (2, "Alice Brown, Carol Dent, Emil Frank, Grace Hill"), (3, "Who wrote Hamlet?"), (4, "Mix 5 Grams with 7 Jars 8 Bags 9 Cans")]
+    texts = {i: f"some words stand before {t} and some more come after it" for i, t in items} | {5: "the answer to 12 + 8 * 3 - 5 / 2 + 9 is known", 6: "Nothing of Karl Lund, Mona Nord, Olaf Park is here. Who wrote it?", 7: "who wrote of hamlet", 8: "among them alice brown carol dent emil frank grace hill too"}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontamination.flag(docs, bench).collect()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: [2]}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [5, 6, 7]
+
+
 def test_planted_passages_are_found(spark, sf):
     sf = sf.replace("0.001", "0.01")
     squeeze = lambda s: " ".join(s.lower().split())
