@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, planted cases or held-out accuracy."""
 
+import json
 import math
 import random
 import re
@@ -179,18 +180,86 @@ def test_hosts_of_several_templates(spark):
     assert all(got[i].startswith(f"Title {i} & more\nFirst") for i in got if i % 3 == 0)
 
 
+def tree(html):
+    root, texts = wrappers.parse(html)
+    return wrappers.fold(wrappers.nodes_of(root, [wrappers.text_hash(t) for t in texts], {wrappers.text_hash("x")})[3])
+
+
 def test_alignment_finds_optional_and_repeated_groups():
-    tree = lambda h: (lambda root, texts: wrappers.fold(wrappers.hashed(root, texts)[3]))(*wrappers.parse(h))
     a, b = tree("<div><p>a<p>b<hr><h2>x</h2></div>"), tree("<div><h2>x</h2><ul><li>1<li>2</ul></div>")
     (div,) = wrappers.align(a, b)
     kinds = {c[0]: (c[1], c[2]) for c in div[3]}
     assert kinds == {"p": (True, True), "h2": (False, False), "ul": (True, False)}
-    assert next(c for c in div[3] if c[0] == "h2")[3][0][4][3] is not None  # one text on both sides
+    assert next(c for c in div[3] if c[0] == "h2")[3][0][0] == f"#={wrappers.text_hash('x')}"  # a literal
     groups = tree("<h2>a</h2><p>b</p><h2>c</h2><p>d</p>")
     assert [g[0] for g in groups] == ["(h2 p)"] and groups[0][2]
     assert [g[0] for g in wrappers.align(groups, tree("<h2>e</h2><p>f</p>"))] == ["(h2 p)"]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_alignment_of_long_sequences_matches_in_order(seed, monkeypatch):
+    rnd = random.Random(seed)
+    a, b = ([rnd.choice("abcdefghij") + str(rnd.randrange(5)) for _ in range(60)] for _ in range(2))
+    best = wrappers.pairs(a, b)
+    monkeypatch.setattr(wrappers, "CELLS", 40)
+    for found in (best, wrappers.pairs(a, b)):
+        assert [i for i, _ in found if i is not None] == list(range(60)) and [j for _, j in found if j is not None] == list(range(60))
+        assert all(a[i] == b[j] for i, j in found if i is not None and j is not None)
+
+
+PLAIN = """<html><body><div><div><p>Home</p><p>All news of the town</p></div><div>{0}</div><div><p>Written for you by the people of the town</p></div></div><div>{1}</div></body></html>"""
+
+
+def plain_page(i):
+    parts = "".join(f"<div><p>Paragraph {k} of the story number {i} is told here</p></div>" for k in range(1 + i % 3))
+    return PLAIN.format(f"<div><p>Story {i} has a head</p></div>{parts}", " ".join(f"<p><a href=/{i}{k}>Another story called {i + k}</a></p>" for k in range(i % 4)))
+
+
+def test_the_wrapper_decides_where_no_name_tells(spark):
+    """Menus, claims and lists of links without a telling tag or class: only the other pages of the host tell them from the story."""
+    rows = [(i, f"https://plain.example/{i}", plain_page(i)) for i in range(20)] + [(99, "https://alone.example/", plain_page(3))]
+    got = {r.page_id: r.text.split("\n") for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = lambda i: [f"Story {i} has a head", *[f"Paragraph {k} of the story number {i} is told here" for k in range(1 + i % 3)]]
+    assert all(got[i] == story(i) for i in range(20))
+    assert got[99] == ["Home", "All news of the town", *story(3), "Written for you by the people of the town"]  # one page alone can't tell
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "PART_BYTES", 2000)
+    monkeypatch.setattr(wrappers, "ARITY", 3)
+    rows = [("h", (page if i % 3 else plain_page)(i)) for i in range(60)]
+    found = set()
+    for seed, parts in ((1, 1), (2, 7), (3, 3)):
+        random.Random(seed).shuffle(rows)
+        (one,) = wrappers.wrappers(spark.createDataFrame(rows, "host string, html string").repartition(parts)).collect()
+        found.add((one.wrapper, tuple(one.literal)))
+    assert len(found) == 1
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "deep", "<p " * 350_000 + "x", "<p \"" * 250_000, "<script>" * 130_000, "<!--" * 250_000, "<p><x>" * 50_000 + "<hr>" * 50_000 + "end", "<i>" * 100_000 + "</b>" * 100_000, "<td><ul>" + "<x>" * 50_000 + "<td></q></div2>" * 50_000, "".join(f"<x{i * i % 977}>a</x{i * i % 977}>" for i in range(20_000))])
+def test_hostile_pages_end_within_seconds(html):
+    import time
+
+    began = time.time()
+    root, texts = wrappers.parse(html)
+    json_ = json.dumps(root)
+    own = wrappers.nodes_of(json.loads(json_), [wrappers.text_hash(t) for t in texts], set())
+    wrapper = [*own[:3], wrappers.fold(own[3]), None]
+    other = wrappers.parse("<p>a</p><div>b</div>" + html[::2])
+    wrapper = wrappers.merge(wrapper, [*own[:3], wrappers.fold(wrappers.nodes_of(other[0], [0] * len(other[1]), set())[3]), None])
+    wrappers.extract(root, texts, set(), wrappers.judged(wrapper, [])["tree"])
+    assert time.time() - began < 15
+
+
+def test_texts_below_the_deepest_level_stay_in_page_order(spark):
+    html = "a<x>" + "<div>b" * 200 + "c" + "</div>d" * 200 + "</x>e"
+    root, texts = wrappers.parse(html)
+    own = wrappers.nodes_of(root, [0] * len(texts), set())
+    got = wrappers.extract(root, texts, set(), ["", [], 0]) if not own else wrappers.extract(root, texts, set(), wrappers.judged([*own[:3], wrappers.fold(own[3]), None], [])["tree"])
+    (row,) = wrappers.main_text(spark.createDataFrame([(1, "http://a.b", "<article>" + html)], "page_id long, url string, html string")).collect()
+    assert "".join(row.text.split()) == "a" + "b" * 200 + "c" + "d" * 200 + "e" and got is not None
+
+
 def test_equal_headings_within_articles_stay(spark):
     body = lambda i: f"<h1>Dish {i}</h1><p>A long story of dish {i} and how it came</p><h2>Ingredients</h2><ul><li>salt {i}</ul><h2>Method</h2><p>Stir it for {i} minutes and serve</p>"
     pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<nav>Home</nav><article>{body(i)}</article>") for i in range(9)], "page_id long, url string, html string")
