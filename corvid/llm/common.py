@@ -26,15 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session that names none, as in tests, gets a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session of one machine (local[n], as in tests) gets a folder of its own; a cluster is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    own = spark.conf.get("corvid.local.checkpoint.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="corvid-checkpoint-")
-        spark.conf.set("corvid.local.checkpoint.dir", own)
-    return own
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    if set_.isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvid-checkpoint-"))
+        set_ = sc._jsc.sc().getCheckpointDir()
+    return set_.get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing needs any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores at its end until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
