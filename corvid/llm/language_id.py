@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, small_batches, unit_hash
+from .common import fresh, in_fold, small_batches, unit_hash
 
 #: About so many rows of each language, and in all, are learned from, chosen by a hash of doc_id: 16 KB a row.
 TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 500, 6000
@@ -30,10 +30,16 @@ MARGIN = 0.1
 ROUNDS, RATE, L2 = 150, 20.0, 1e-4
 #: Bytes of a text that are worked on at once.
 PIECE = 1 << 20
+#: Letters and, to be sorted out, other number characters.
 LETTER = re.compile(r"[^\W\d_]")
 FIELDS = "lang_pred string, score double, ambiguous boolean"
 
 
+def has_letter(text: str | None) -> bool:
+    """A character of Unicode's letter categories."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 def features(text: str | None) -> np.ndarray:
     """Unit vector of the square roots of the counts of hashed byte 1- to 3-grams of the whole lower-cased text."""
     out = np.zeros(DIM, np.int64)
@@ -94,7 +100,7 @@ class Ecoc:
             self.w = fit_bits(x, self.code[of], 1.0 / np.bincount(of, minlength=len(langs))[of])
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not LETTER.search(text) or not self.langs:
+        if not has_letter(text) or not self.langs:
             return "und", 0.0, True
         if self.w is None:
             return self.langs[0], 1.0, False
@@ -141,5 +147,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those that are `und` or ambiguous."""
-    mark = "__language_id"
-    return docs.withColumn(mark, decoder(learn(docs), F.col("text"))).where(~F.col(f"{mark}.ambiguous")).drop(mark)
+    mark = fresh(docs, "__language_id")
+    return docs.withColumn(mark, decoder(learn(docs), F.col("text"))).where(~F.col(mark)["ambiguous"]).drop(mark)
