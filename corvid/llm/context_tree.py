@@ -28,7 +28,6 @@ Two of V distinct tokens share their 64-bit hash with a probability of about V^2
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -65,10 +64,9 @@ M = np.uint64(0x9E3779B97F4A7C15)
 M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-@lru_cache(2)
-def powers(base: int, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.cumprod(out)
 
 
@@ -83,12 +81,11 @@ def token_keys(texts: list[bytes]) -> np.ndarray:
         hi = len(whole) if lo + CHUNK >= len(whole) else whole.find(b" ", lo + CHUNK)
         hi = len(whole) if hi < 0 else hi
         a = np.frombuffer(whole, np.uint8, hi - lo, lo)
-        size = 1 << max(21, (len(a) - 1).bit_length())
-        part = (a.astype(np.uint64) + np.uint64(1)) * powers(int(M), size)[: len(a)]
+        part = (a.astype(np.uint64) + np.uint64(1)) * powers(M, len(a))
         total = np.concatenate([[np.uint64(0)], np.cumsum(part)])
         ends = np.append(np.flatnonzero(a == 32), len(a))
         begins = np.concatenate([[0], ends[:-1] + 1])
-        out.append(scrambled((total[ends] - total[begins]) * powers(int(M_INVERSE), size)[begins]))
+        out.append(scrambled((total[ends] - total[begins]) * powers(M_INVERSE, len(a))[begins]))
         lo = hi + 1
     return np.concatenate(out) if out else np.empty(0, U64)
 
