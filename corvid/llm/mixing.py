@@ -4,16 +4,15 @@ A document's size is its number of words. Sources in code point order (null last
 repeating; their targets are shares of the total size, capped at 3 times the source's size, the
 excess reshared by weight among the others. In each source the target is fitted thus:
 
-1. every document is taken floor(target / source size) times;
-2. of the rest, each exact length gives its share of documents, rounded down;
-3. what then remains is filled from the longest length down to DP_WORDS words;
-4. a bounded-knapsack dynamic program over the lengths' remaining counts fills those last words as
-   nearly as it can.
+1. of the target less DP_WORDS words, but of half the target at least, each exact length gives its
+   share of copies, rounded down;
+2. what then remains is filled from the longest length down to DP_WORDS words;
+3. a bounded-knapsack dynamic program over the copies that each length has left, of MOST_COPIES a
+   document, fills those last words as nearly as it can, by even copies if these reach the target.
 
-A source of so few documents that a remainder stays may give single lengths a copy less or more.
-That yields how many documents of each length get one more copy; they are those with the least
-seeded hash. The threshold, the k-th least hash of a (source, length) group, is found in slices of
-SLICES hash ranges, so that a group that holds a third of all rows is ranked by many tasks.
+That yields how many copies all documents of a length get, and how many of them one more; these are
+those with the least seeded hash. The threshold, the k-th least hash of a (source, length) group, is
+found in slices of the hash's range of about SLICE_ROWS rows, so that a group that holds a third of all rows is ranked by many tasks.
 
 Defined results: null or empty text: size 0, taken 0. A null source is a source of its own.
 Rows that repeat a doc_id with the same source and size are taken together. A source of size 0
@@ -30,14 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, columns_of, cut, maybe_broadcast
+from .common import WORD, columns_of, cut, fresh, maybe_broadcast
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 DP_WORDS = 1 << 15
-#: A remainder above this share of the target makes a small source try copies document by document.
-COARSE = 0.002
-SLICES = 256
+SLICE_ROWS = 1 << 16
 SEED = 2
 
 
@@ -93,29 +90,20 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[list[int]
     total = sum(a * n for a, n in zip(lengths, counts, strict=True))
     if not total or target <= 0:
         return [0] * len(lengths), [0] * len(lengths)
-    budget = round(target)
-    every = min(MOST_COPIES, budget // total)
-    rest = budget - every * total
-    more = [0] * len(lengths)
-    if every < MOST_COPIES and rest > 0:
-        more = [rest * n // total for n in counts]
-        rest -= sum(a * x for a, x in zip(lengths, more, strict=True))
-        for i in range(len(lengths) - 1, -1, -1):
-            if rest <= DP_WORDS:
-                break
-            x = min(counts[i] - more[i], (rest - DP_WORDS // 2) // lengths[i])
-            more[i] += x
-            rest -= x * lengths[i]
-        last = filled(lengths, [n - x for n, x in zip(counts, more, strict=True)], rest)
-        more = [x + y for x, y in zip(more, last, strict=True)]
-        rest -= sum(a * x for a, x in zip(lengths, last, strict=True))
-    taken = [every * n + x for n, x in zip(counts, more, strict=True)]
-    base = max(every - 1, 0)
-    if rest > COARSE * budget and budget - base * total <= DP_WORDS:
-        # So few documents that their subsets are coarse: single documents may get a copy less or more.
-        other = filled(lengths, [n * (MOST_COPIES - base) for n in counts], budget - base * total)
-        if budget - base * total - sum(a * x for a, x in zip(lengths, other, strict=True)) < rest:
-            taken = [base * n + x for n, x in zip(counts, other, strict=True)]
+    budget = min(round(target), MOST_COPIES * total)
+    share = max(budget - DP_WORDS, budget // 2)
+    taken = [share * n // total for n in counts]
+    rest = budget - sum(a * x for a, x in zip(lengths, taken, strict=True))
+    even = min(MOST_COPIES, budget // total + 1)  # copies of a document if all get as many, rounded up
+    for i in range(len(lengths) - 1, -1, -1):
+        if rest <= DP_WORDS:
+            break
+        x = min(even * counts[i] - taken[i], (rest - DP_WORDS // 2) // lengths[i])
+        taken[i] += x
+        rest -= x * lengths[i]
+    # Copies beyond the even ones stand first, so that they are only taken where the others can't fill the rest.
+    last = filled([*lengths, *lengths], [(MOST_COPIES - even) * n for n in counts] + [even * n - x for n, x in zip(counts, taken, strict=True)], rest)
+    taken = [x + y + z for x, y, z in zip(taken, last, last[len(lengths) :], strict=False)]
     return [x // n for x, n in zip(taken, counts, strict=True)], [x % n for x, n in zip(taken, counts, strict=True)]
 
 
@@ -141,7 +129,8 @@ def plan(slim: DataFrame) -> DataFrame:
     # The k-th least (h, doc_id) of the groups of which some but not all get one more copy.
     some = fitted.where("more > 0 and more < n").select("source", "size", "more")
     some = maybe_broadcast(some, some.count())
-    slices = F.shiftright(F.col("h"), 64 - (SLICES.bit_length() - 1)).cast("int")  # signed, in the order of h
+    most = fitted.agg(F.max("n")).first()[0] or 1
+    slices = F.shiftright(F.col("h"), 64 - max(1, (most // SLICE_ROWS).bit_length()))  # signed, in the order of h
     ranked = slim.join(some.withColumnRenamed("source", "s").withColumnRenamed("size", "z"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("source", "size", "more", "h", "doc_id", slices.alias("slice"))
     per = ranked.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("in_slice"), F.first("more").alias("more"))
     up_to = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -158,12 +147,14 @@ def copies(docs: DataFrame, rows: DataFrame, size: Column, h: Column, names: tup
     """rows of docs with what names has: size, source_size, target, copies. size and h: a row's size and hash."""
     slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
     p = plan(cut(slim))
-    p = maybe_broadcast(p.select(*[F.col(c).alias(f"__mix_{c}") for c in p.columns]), p.count())
-    joined = rows.join(p, F.col("source").eqNullSafe(F.col("__mix_source")) & (size == F.col("__mix_size")))
-    tie = (h == F.col("__mix_h_most")) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.col("__mix_id_most")))
-    extra = (F.col("__mix_more") > 0) & ((F.col("__mix_more") == F.col("__mix_n")) | (h < F.col("__mix_h_most")) | tie)
-    times = F.when(size > 0, F.col("__mix_every") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
-    return joined.select(*columns_of(rows), *[c.alias(n) for c, n in zip((size, F.col("__mix_source_size"), F.col("__mix_target"), times), names, strict=True)])
+    name = fresh(rows, "__mix_plan")
+    p = maybe_broadcast(p.select(F.col("source").alias(f"{name}s"), F.col("size").alias(f"{name}z"), F.struct("*").alias(name)), p.count())
+    joined = rows.join(p, F.col("source").eqNullSafe(F.col(f"{name}s")) & (size == F.col(f"{name}z")))
+    of = F.col(name)
+    tie = (h == of["h_most"]) & (F.col("doc_id").isNull() | (F.col("doc_id") <= of["id_most"]))
+    extra = (of["more"] > 0) & ((h < of["h_most"]) | tie)
+    times = F.when(size > 0, of["every"] + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
+    return joined.select(*columns_of(rows), *[c.alias(n) for c, n in zip((size, of["source_size"], of["target"], times), names, strict=True)])
 
 
 def hash_of(doc_id: Column) -> Column:
@@ -179,7 +170,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    rows = docs.withColumn("__mix_words", size_of(F.col("text")))
-    out = copies(docs, rows, F.col("__mix_words"), hash_of(F.col("doc_id")), ("__mix_a", "__mix_b", "__mix_c", "__mix_copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
-    return out.where(F.col("__mix_copies") > 0).select(*columns_of(docs), again.alias("__mix_again")).drop("__mix_again")
+    words, times = fresh(docs, "__mix_words"), fresh(docs, "__mix_times")
+    rows = docs.withColumn(words, size_of(F.col("text")))
+    out = copies(docs, rows, F.col(words), hash_of(F.col("doc_id")), (f"{words}a", f"{words}b", f"{words}c", times))
+    again = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return out.where(F.col(times) > 0).select(*columns_of(docs), again.alias(times)).drop(times)

@@ -76,6 +76,40 @@ def test_forest_paths_isolate():
     assert paths[0] < paths[1:].min()
 
 
+def brute_path(forest, tree, x):
+    """The path length of a row in one tree, by recursion."""
+
+    def down(node):
+        if forest.column[tree, node] < 0:
+            return forest.length[tree, node]
+        return down(2 * node + (1 if x[forest.column[tree, node]] <= forest.value[tree, node] else 2))
+
+    return down(0)
+
+
+def test_verdicts_equal_brute_force(spark, sf, docs, rows):
+    """Statistics, forest, calibration and verdict, each worked out again in plain Python."""
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    stats = {r.doc_id: dict(zip(rules.COUNTS, rules.counts(r.text), strict=True)) for r in rows}
+    grade = lambda s: [math.floor(a / max(b, 1) / g) for a, b, g in ((s["n_symbols"], s["word_chars"], 0.02), (s["n_upper"], s["word_chars"], 0.1), (s["n_digits"], s["word_chars"], 0.1), (s["n_marks"], s["n_words"], 0.05), (s["n_same"], s["n_words"], 0.05))]
+    failed = {i: s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"] for i, s in stats.items()}
+    able = [i for i in stats if not failed[i]]  # fewer than the forest's sample, so all of them are in it
+    assert len(able) < rules.TREES * rules.SUBSAMPLE
+    x = np.array(sorted((grade(stats[i]) for i in able), key=lambda g: g[::-1]), float)
+    forest = rules.Forest(x)
+    path = {i: sum(brute_path(forest, t, grade(stats[i])) for t in range(rules.TREES)) / rules.TREES for i in able}
+    step = (forest.depth + rules.average_path(rules.SUBSAMPLE)) / rules.BINS
+    bins = {i: math.floor(p / step + 1e-12) for i, p in path.items()}
+    good, bad = ([bins[i] for i in able if labels.get(i) == q] for q in (1, 0))
+    allowed = [t for t in range(rules.BINS + 1) if sum(b < t for b in good) <= (1 - rules.KEEP_GOOD) * len(good)]
+    merit = lambda t: sum(b < t for b in bad) / len(bad) + sum(b >= t for b in good) / len(good)
+    best = max(map(merit, allowed))
+    out = {r.doc_id: r for r in QUERIES["op1_isolation_forest"](spark, sf).collect()}
+    assert all(abs(out[i].path_length - path[i]) <= 1.01 * step for i in able) and not any(out[i].kept for i in stats if failed[i])
+    kept = [out[i].path_length for i in able if out[i].kept]
+    assert merit(round(min(kept) / step)) == pytest.approx(best) and all(out[i].path_length < min(kept) for i in able if not out[i].kept)
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 
@@ -109,14 +143,26 @@ def test_fit_is_exact_where_it_can_be(seed):
     every, more = mixing.fit(lengths, counts, target)
     assert all(0 <= x < n and 0 <= k + (x > 0) <= 3 for k, x, n in zip(every, more, counts, strict=True))
     got = sum(a * (k * n + x) for a, k, x, n in zip(lengths, every, more, counts, strict=True))
-    # No worse than the best sum that contains the proportional start.
-    all_ = min(3, round(target) // total)
-    rest = round(target) - all_ * total
-    start = [rest * n // total for n in counts]
+    # So small a target is filled as nearly as any copies above a proportional start can.
+    share = round(target) // 2
+    start = [share * n // total for n in counts]
     sums = {sum(a * x for a, x in zip(lengths, start, strict=True))}
     for a, n, x in zip(lengths, counts, start, strict=True):
-        sums = {s + a * k for s in sums for k in range(n - x + 1)}
-    assert all_ * total + max((s for s in sums if s <= rest), default=0) <= got <= round(target)
+        sums = {s + a * k for s in sums for k in range(3 * n - x + 1)}
+    assert got == max(s for s in sums if s <= round(target))
+
+
+@pytest.mark.parametrize("n", [3, 300, 30_000])
+def test_fit_takes_documents_evenly(n):
+    """Of lengths that all differ, documents get the copies of the source's share, not three of the longest."""
+    lengths, counts = list(range(100, 100 + n)), [1] * n
+    total = sum(lengths)
+    for share in (0.4, 1.0, 1.7, 3.0):
+        every, more = mixing.fit(lengths, counts, share * total)
+        got = sum(a * (k + x) for a, k, x in zip(lengths, every, more, strict=True))
+        assert abs(got - share * total) <= (60 if n == 3 else 1)
+        if n > 3:
+            assert sum(k + x > math.floor(share) + 1 for k, x in zip(every, more, strict=True)) <= 2
 
 
 def test_mix(spark, sf, rows):
@@ -343,6 +389,41 @@ def test_ranking_on_held_out_rows(spark, sf):
     assert sum(out[i].predicted == labels[i] for i in held) >= 0.95 * len(held)
 
 
+def test_scores_equal_brute_force(spark, sf, rows):
+    """The bins' weights summed document by document, and the threshold tried at every score."""
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    learned = sorted(i for i in labels if crc(i) % 5)
+    stats = {r.doc_id: rules.counts(r.text) for r in rows}
+    frame = lambda ids: ranking.pd.DataFrame([stats[i] for i in ids], columns=rules.COUNTS)
+    model = ranking.BradleyTerry(frame(learned), np.array([labels[i] == 1 for i in learned]))
+    raw = {}
+    for i in stats:
+        (x,), s, at = ranking.describe(frame([i])), 0.0, 0
+        for value, edges in zip(x, model.edges, strict=True):
+            for edge in edges:
+                s, at = s + model.w[at] * (value > edge), at + 1
+        raw[i] = round(s * model.scale * ranking.STEPS) / ranking.STEPS
+    good, bad = ([raw[i] for i in learned if labels[i] == q] for q in (1, 0))
+    merit = lambda t: sum(g >= t for g in good) / len(good) + sum(b < t for b in bad) / len(bad)
+    out = {r.doc_id: r for r in QUERIES["op5_bradley_terry"](spark, sf).collect()}
+    assert all(a.predicted <= b.predicted and a.score <= b.score + 1e-9 for (_, a), (_, b) in zip(*(lambda o: (o, o[1:]))(sorted((raw[i], out[i]) for i in raw)), strict=False))
+    cut = min(raw[i] for i in raw if out[i].predicted)
+    tried = [np.sort(good + bad)[int(q * (len(good) + len(bad)))] for q in np.arange(0.005, 1, 0.005)]
+    assert merit(cut) >= max(map(merit, tried)) - 0.02
+    assert all(out[i].score == pytest.approx(1 / (1 + math.exp(-(raw[i] - at_ + math.log(3 / 7)))), abs=2e-3) for at_ in [next(raw[i] - math.log(out[i].score / (1 - out[i].score)) + math.log(3 / 7) for i in raw)] for i in raw)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_the_threshold_is_the_best_quantile(seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(50), rnd.random() < 0.6) for _ in range(400)]
+    good, bad = [s for s, g in rows if g], [s for s, g in rows if not g]
+    per = [(float(s), good.count(s), bad.count(s)) for s in {s for s, _ in rows}]
+    merit = lambda t: sum(g >= t for g in good) / len(good) + sum(b < t for b in bad) / len(bad)
+    tried = [sorted(s for s, _ in rows)[k * len(rows) // 200] for k in range(1, 200)]
+    assert merit(ranking.quantile_cut(per)) == pytest.approx(max(map(merit, tried)))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 ITEM = "A train leaves Berlin at 9 km per hour and after 35 minutes Anna counts 120 kg of apples while the other 9 remain on the long table near Berlin"
@@ -654,6 +735,32 @@ def test_languages_on_held_out_rows(spark, sf, rows):
     assert sum(out[r.doc_id].lang_pred == r.lang for r in held) >= 0.95 * len(held)
 
 
+def test_languages_equal_brute_force(spark, sf, docs, rows):
+    """N-grams counted one by one, each classifier's sum and each codeword's loss worked out in plain Python."""
+    model = language_id.learn(docs)
+    out = {r.doc_id: r for r in QUERIES["op10_ecoc_language"](spark, sf).collect()}
+    for r in rows[::10]:
+        raw, x = r.text.lower().encode(), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                code = n
+                for b in raw[i : i + n]:
+                    code = (code * 257 + b) % (1 << 32)
+                x[((code * 2654435761) % (1 << 32)) >> 20] += 1
+        norm = math.sqrt(sum(x.values()))
+        z = [sum(math.sqrt(c) / norm * float(model.w[f, bit]) for f, c in x.items()) + float(model.w[-1, bit]) for bit in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-float(c) * v)) for c, v in zip(word, z, strict=True)) for word in model.code]
+        p = sorted(((math.exp(min(loss) - a), lang) for a, lang in zip(loss, model.langs, strict=True)), reverse=True)
+        total = sum(a for a, _ in p)
+        got = out[r.doc_id]
+        assert got.lang_pred == p[0][1] and got.score == pytest.approx(p[0][0] / total, abs=1e-3) and got.ambiguous == ((p[0][0] - p[1][0]) / total < language_id.MARGIN)
+
+
+@pytest.mark.parametrize("text,letters", [("\u00bd \u00b2", False), ("\u2167", False), ("12 !", False), (None, False), ("", False), ("\u00bd x", True), ("\u4e2d", True), ("\u00aa", True), ("_", False)])
+def test_letters_are_those_of_unicode(text, letters):
+    assert language_id.has_letter(text) == letters
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 8, 20])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
