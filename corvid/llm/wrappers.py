@@ -61,7 +61,7 @@ ATTR = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'
 #: A literal stands on so many different pages of its host, and on such a share of them.
 SAME_PAGES, SAME_SHARE = 4, 0.3
 #: Levels of elements, cells of an alignment's table, and bytes of streams that are aligned by one task.
-DEPTH, CELLS, PART_BYTES = 48, 250_000, 8 << 20
+DEPTH, CELLS, PART_BYTES = 48, 250_000, 256 << 10
 #: Parts whose wrappers are aligned by one task.
 ARITY = 64
 
