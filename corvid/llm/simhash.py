@@ -8,18 +8,20 @@ are compared. For these, the Hamming distances to the REFERENCES are tabulated o
   range's first 1, 2, ... bits set); one more reference is zero. A range's coordinates, taken
   relative to the zero reference, change only if a bit of that range does.
 * Two fingerprints that differ in at most two bits agree in all coordinates of at least three of
-  the five ranges. So a join on the coordinates of three ranges, for each of the ten choices,
-  misses no link; at 10^10 fingerprints a bucket of about 38 bits has fewer than one by chance.
+  the five ranges, so they share a bucket of these for at least one of the ten choices. Within a
+  bucket the pivot that is the two other ranges' bits decides who meets: its distances are cut into
+  cells, and fingerprints whose distances differ by more than two cells' reach are never paired.
 * Of the pairs that meet, those with a coordinate difference over 2 at any of the PIVOTS are
-  discarded (the triangle inequality allows no such link); the rest are verified exactly. Both
-  tests are conditions of the join, so a pair that fails them is never made into a row.
+  discarded (the triangle inequality allows no such link) as a condition of the join; the survivors
+  are verified exactly.
 
 Links join into components whose id is the least doc_id.
 
 Two bits are a link that a change of one word in a hundred already exceeds, and a 64-bit fingerprint
 can't be searched at the ten bits or more that a similarity of 0.8 needs without comparing large
-parts of the corpus. So copies(), which the pipeline uses, adds pairs by the exact Jaccard similarity
-of their sets of 5-word shingles. Texts that share a key of minimum hashes are joined first, cheaply
+parts of the corpus; on the other hand texts of one template may lie within two bits. So copies(),
+which the pipeline uses, takes the links as candidates, adds others, and joins what has a Jaccard
+similarity of 0.8 of the sets of 5-word shingles. Texts that share a key of minimum hashes are looked at first, cheaply
 and not all of them; what that leaves apart is joined by prefixes of the sets, which miss no pair:
 two sets of similarity 0.8 share one of the first shingles of both in any common order, here by
 rising frequency in a sample. The sample decides what the join costs, never what it finds.
@@ -38,15 +40,14 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns_of, components, cut, maybe_broadcast, small_batches, unit_hash
 
-RADIUS = 2
-#: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes and LOOSE_RADIUS only
-#: join most copies early; apart() finds the rest.
-SIMILARITY, BANDS, ROWS, NEIGHBOURS, LARGE, LOOSE_RADIUS = 0.8, 20, 4, 7, 4096, 24
+RADIUS, CELL = 2, 5
+#: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes only join most copies
+#: early; apart() finds the rest, and spreads a shingle of over LARGE texts over parts that each meet all of these.
+SIMILARITY, BANDS, ROWS, LARGE = 0.8, 20, 4, 4096
 #: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
 SAMPLE, FREQUENT = 10_000, 100_000
 _RNG = np.random.default_rng(9)
@@ -119,20 +120,35 @@ def distance_table(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (x, y), x < y, of distinct fingerprints (fp) at RADIUS or less; every pair once."""
+    return survivors(fps).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS)
+
+
+def survivors(fps: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of fps (fp) that no coordinate discards; every pair once.
+
+    A row stands in the CELLs of its choice's own pivot that its distance, more or less RADIUS, reaches; the row that it
+    is paired with in that of its distance. What the pivot tells apart never meets, however large the bucket.
+    """
     tab = distance_table(fps.select("fp"))
     choices = list(combinations(range(len(RANGES)), 3))
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[f"r{j}" for j in c]).alias("key")) for t, c in enumerate(choices)])).alias("k")
-    rows = tab.select("fp", *[f"p{k}" for k in range(len(PIVOTS))], keys).select("*", "k.t", "k.key").drop("k")
-    a, b = rows.alias("a"), rows.alias("b")
+    pivots = [f"q{t}" for t in range(len(choices))]
+    for name, c in zip(pivots, choices, strict=True):
+        own = sum(((1 << width) - 1) << at for j, (at, width) in enumerate(RANGES) if j not in c)
+        tab = tab.withColumn(name, F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(own)).cast("long"))))
+    key = lambda t, c: F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[f"r{j}" for j in c]).alias("key"), F.col(f"q{t}").alias("q"))
+    near = ["fp", *[f"p{k}" for k in range(len(PIVOTS))]]
+    rows = tab.select(*near, F.explode(F.array(*[key(t, c) for t, c in enumerate(choices)])).alias("k")).select(*near, "k.t", "k.key", "k.q")
+    cell = lambda q: F.floor(q / CELL).cast("int")
+    a = rows.select(*near, "t", "key", F.explode(F.sequence(cell(F.col("q") - RADIUS), cell(F.col("q") + RADIUS))).alias("cell")).alias("a")
+    b = rows.select(*near, "t", "key", cell(F.col("q")).alias("cell")).alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
-    near = F.lit(True)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.cell") == F.col("b.cell")) & (x < y)
     for k in range(len(PIVOTS)):
-        near = near & (F.abs(F.col(f"a.p{k}").cast("int") - F.col(f"b.p{k}").cast("int")) <= RADIUS)
+        on = on & (F.abs(F.col(f"a.p{k}").cast("int") - F.col(f"b.p{k}").cast("int")) <= RADIUS)
     differ = x.bitwiseXOR(y)
     same = [differ.bitwiseAND(F.lit(signed(((1 << width) - 1) << at)).cast("long")) == 0 for at, width in RANGES]
     first = F.coalesce(*[F.when(same[c[0]] & same[c[1]] & same[c[2]], F.lit(t)) for t, c in enumerate(choices)])
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.t") == F.col("b.t")) & (x < y) & near & (F.bit_count(differ) <= RADIUS) & (first == F.col("a.t"))
-    return a.join(b, on).select(x.alias("x"), y.alias("y"))
+    return a.join(b, on & (first == F.col("a.t"))).select(x.alias("x"), y.alias("y"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -171,12 +187,12 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 NONE = np.array([], np.uint64), np.array([], np.int64)
 
 
-def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> tuple[int, int, int, list[int], int, list[int]]:
-    """Fingerprints of 3-word and of distinct 5-word shingles, a hash of the words, BANDS keys of ROWS minimum hashes each, and the number and the prefix of the distinct 5-word shingles."""
+def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> tuple[int, int, list[int], int, list[int]]:
+    """The fingerprint of 3-word shingles, a hash of the words, BANDS keys of ROWS minimum hashes each, and the number and the prefix of the distinct 5-word shingles."""
     words = words_of(text)
     key, hashes = text_key(words), np.unique(shingle_hashes(words, 5))  # the similarity is of sets, so a repeat counts once
     if not words:
-        return 0, 0, key, [], 0, []
+        return 0, key, [], 0, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1 << 12):
         least = np.minimum(least, (hashes[at : at + (1 << 12), None] * FACTORS[None, :] + SHIFTS[None, :]).min(axis=0))
@@ -184,14 +200,14 @@ def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, sim
     for part in least.reshape(BANDS, ROWS).T:
         bands = (bands ^ part) * np.uint64(0x9E3779B97F4A7C15)
         bands ^= bands >> np.uint64(29)
-    return majority(shingle_hashes(words, 3)), majority(hashes), key, bands.view(np.int64).tolist(), len(hashes), prefix(hashes, frequent, similarity).view(np.int64).tolist()
+    return majority(shingle_hashes(words, 3)), key, bands.view(np.int64).tolist(), len(hashes), prefix(hashes, frequent, similarity).view(np.int64).tolist()
 
 
 def sketches(text: Column, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> Column:
-    @F.pandas_udf("fp long, fp5 long, key long, bands array<long>, n int, prefix array<long>")
+    @F.pandas_udf("fp long, key long, bands array<long>, n int, prefix array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([sketch(t, frequent, similarity) for t in s], columns=["fp", "fp5", "key", "bands", "n", "prefix"])
+            yield pd.DataFrame([sketch(t, frequent, similarity) for t in s], columns=["fp", "key", "bands", "n", "prefix"])
 
     return of(text)
 
@@ -212,37 +228,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], np.array([r["c"] for r in top], np.int64)[order]
 
 
-def plausible(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of pairs (a, fa, b, fb) that survive the pivots and whose fingerprints are near enough."""
-    out = pairs.where("a <> b")
-    for p in PIVOTS:
-        far = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(p).cast("long")))  # noqa: B023, E731
-        out = out.where(F.abs(far("fa") - far("fb")) <= LOOSE_RADIUS)
-    out = out.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= LOOSE_RADIUS)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def stars(rows: DataFrame) -> DataFrame:
-    """rows (key, fp5, band, bk) -> pairs of each text and the least one of each of its buckets."""
-    centre = rows.groupBy("band", "bk").agg(F.min(F.struct("key", "fp5")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(centre, ["band", "bk"])
-    return plausible(shared.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("c.key").alias("b"), F.col("c.fp5").alias("fb")))
-
-
-def chains(rows: DataFrame) -> DataFrame:
-    """rows (key, fp5, root, band, bk) -> pairs of texts of different roots within a bucket.
-
-    Each meets its next NEIGHBOURS in the order of fingerprints: up to NEIGHBOURS + 1 texts meet all
-    others; above, pairs grow with the bucket, not with its square. Buckets of one root, as those of
-    a large group of copies soon are, make none; those of over LARGE texts are ordered in parts.
-    """
-    mixed = rows.groupBy("band", "bk").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    shared = rows.join(mixed.drop("lo", "hi"), ["band", "bk"])
-    order = W.partitionBy("band", "bk", F.pmod("key", F.ceil(F.col("n") / LARGE))).orderBy("fp5", "key")
-    own = F.struct("key", "fp5", "root")
-    nexts = F.filter(F.array(*[F.lead(own, k).over(order) for k in range(1, NEIGHBOURS + 1)]), lambda o: o["root"] != F.col("root"))
-    pairs = shared.select("key", "fp5", "root", nexts.alias("next")).select("key", "fp5", F.explode("next").alias("o"))
-    return plausible(pairs.select(F.col("key").alias("a"), F.col("fp5").alias("fa"), F.col("o.key").alias("b"), F.col("o.fp5").alias("fb")))
+    """rows (key, band, bk) -> distinct pairs of each text and the least one of each of its buckets."""
+    centre = rows.groupBy("band", "bk").agg(F.min("key").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(centre, ["band", "bk"]).where("key <> c").select(F.col("c").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def apart(rows: DataFrame, similarity: float) -> DataFrame:
@@ -263,22 +252,29 @@ def apart(rows: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, on).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
+def handle() -> list[Column]:
+    """What names a row, whatever is null in it: its doc_id and a hash of its text."""
+    return [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
+
+
+def on_handle(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b on the handle."""
+    b = b.withColumnRenamed("doc_id", "b_id").withColumnRenamed("text_hash", "b_hash")
+    return a.join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), how).drop("b_id", "b_hash")
+
+
 def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts (key, doc_id) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id"), "key")
-    nodes = cut(nodes.select("key", F.col("doc_id").alias("node_id")))
+    """The pairs (a, b) of texts (key, doc_id, text_hash) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
+    pairs = cut(pairs.distinct())
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "text_hash"), "key"))
 
-    @F.pandas_udf("key long, s array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            words = [words_of(t) for t in s]
-            yield pd.DataFrame([(text_key(w), np.unique(shingle_hashes(w, 5)).view(np.int64)) for w in words], columns=["key", "s"])
+            yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
 
-    shingles = shingles.asNondeterministic()  # so that the filter on it doesn't run it twice
-    # A doc_id may stand for several texts; a set belongs to the text whose words have its key.
-    own = docs.select("doc_id", "text").join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node_id"))
-    sets = cut(own.select("key", shingles(F.col("text")).alias("u")).where("key = u.key").select("key", "u.s").dropDuplicates(["key"]))
+    own = on_handle(docs.select(*handle(), "text"), maybe_broadcast(nodes, nodes.count()))
+    sets = cut(own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
     side = lambda k: sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return cut(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
@@ -296,39 +292,44 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return cut(known.unionByName(single.join(roots.select("node"), "node", "left_anti")))
 
 
-def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, group_id (the least doc_id) of every document with a doc_id.
+def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, root of every row: rows of one root are copies of each other.
 
-    Groups are joined by the fingerprints' links and by texts whose 5-word shingles are similar:
-    first each text with the least one of its buckets, then, of what is still apart, neighbours, and
-    at last all pairs of different groups whose prefixes meet.
+    Candidates are the fingerprints' links and each text with the least one of its buckets; then all pairs of different
+    groups whose prefixes meet. Only what has the similarity joins.
     """
     small_batches(docs)
-    marked = cut(docs.select("doc_id", sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).where(F.col("doc_id").isNotNull()).select("doc_id", "s.*"))
-    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "fp5", "bands", "n", "prefix")]))
-    rows = texts.select("key", "fp5", F.posexplode("bands").alias("band", "bk"))
+    marked = cut(docs.select(*handle(), sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).select("doc_id", "text_hash", "s.*"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
+    texts = cut(marked.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("fp", "bands", "n", "prefix")]).select("key", "own.doc_id", "own.text_hash", "fp", "bands", "n", "prefix"))
     # Texts of one fingerprint, and linked fingerprints, each by their least text.
     firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
-    alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("key").alias("a"), F.col("first").alias("b")).where("a <> b")
-    near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select("a", "b")
-    roots = cut(components(alike.unionByName(near).unionByName(similar(docs, texts, stars(rows), similarity))))
+    alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
+    near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    early = alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
+    roots = cut(components(similar(docs, texts, early, similarity)))
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = merged(roots, similar(docs, texts, chains(rooted(rows)), similarity))
     roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
-    named = texts.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    group = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    of = named.join(group, "root").select("key", "group_id")
-    return marked.select("doc_id", "key").join(of, "key").select("doc_id", "group_id")
+    return rooted(marked.select("doc_id", "text_hash", "key")).select("doc_id", "text_hash", "root")
+
+
+def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, group_id (the least doc_id of its copies, null if all of these are null) of every row."""
+    rows = cut(grouped(docs, similarity))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of copies(), that of the least doc_id; of rows repeating a doc_id one stays.
+    """docs with one row of each group of copies(): of the least doc_id, null last, and of the least hash of the text.
 
-    Rows without a doc_id can't be named by the result and all stay.
+    Rows that are equal in both are one: any of them stays.
     """
-    keep, nth = "__simhash_keep", "__simhash_nth"
-    chosen = copies(docs).where(F.col("doc_id") == F.col("group_id")).select("doc_id", F.lit(True).alias(keep)).distinct()
-    out = docs.join(chosen, "doc_id", "left").where(F.col(keep) | F.col("doc_id").isNull())
-    once = W.partitionBy("doc_id").orderBy(F.length("text"), "text")
-    out = out.withColumn(nth, F.row_number().over(once)).where((F.col(nth) == 1) | F.col("doc_id").isNull())
-    return out.select(*columns_of(docs))
+    rows = cut(grouped(docs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
+    chosen = rows.groupBy("root").agg(least).select("own.doc_id", "own.text_hash")
+    n = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    chosen = cut(on_handle(chosen, n))
+    whole = docs.select(F.struct(*columns_of(docs)).alias("row"), *handle())
+    out = on_handle(whole, maybe_broadcast(chosen, chosen.count()))
+    again = out.where("times > 1").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))  # summed before the shuffle
+    return out.where("times = 1").select("row").unionByName(again.select("row")).select("row.*")

@@ -630,12 +630,12 @@ def test_links_lose_nothing(spark, seed):
 
 
 def brute_groups(texts):
-    """The components of texts linked by two bits, or by the 5-word shingles' similarity of 0.8."""
-    fps, sets = {i: brute_fingerprint(t) for i, t in texts.items()}, {}
+    """The components of texts linked by the 5-word shingles' similarity of 0.8."""
+    sets = {}
     for i, t in texts.items():
         w = t.lower().split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    roots, root = brute_components(fps), {}
+    root = {}
 
     def find(x):
         while root.setdefault(x, x) != x:
@@ -648,8 +648,8 @@ def brute_groups(texts):
         for s in sets[i]:
             by.setdefault(s, []).append(i)
     met = {(a, b) for v in by.values() for a in v for b in v if a < b}
-    for a, b in [*met, *roots.items()]:
-        if roots[a] == b or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+    for a, b in met:
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -697,7 +697,6 @@ def test_copies_among_many_texts_of_one_template(spark, monkeypatch):
         texts[2000 + i], texts[3000 + i] = " ".join(words), " ".join(words[:20] + ["x", f"y{i}"])
     none = spark.createDataFrame([], "a long, b long")  # nothing but the exact join
     monkeypatch.setattr(simhash, "stars", lambda rows: none)
-    monkeypatch.setattr(simhash, "chains", lambda rows: none)
     monkeypatch.setattr(simhash, "LARGE", 100)
     got = {r.doc_id: r.group_id for r in simhash.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == brute_groups(texts)
@@ -713,10 +712,42 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.group_id for r in simhash.copies(docs).collect()} == {0}
-    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", "s.fp5", F.posexplode("s.bands").alias("band", "bk"))
+    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", F.posexplode("s.bands").alias("band", "bk"))
     assert simhash.stars(rows).count() <= 2000 * simhash.BANDS
-    assert simhash.chains(rows.withColumn("root", F.lit(1).cast("long"))).count() == 0
-    assert simhash.chains(rows.withColumn("root", F.col("key"))).count() <= 2000 * simhash.BANDS * simhash.NEIGHBOURS
+
+
+def test_templated_families_and_recall_by_similarity(spark):
+    """Pairs of texts within families of one template: every pair of 0.8 is joined, and no text that is a copy of none goes."""
+    rnd = random.Random(11)
+    texts, pairs = {}, []
+    for family in range(3):
+        template = [f"t{family}_{k}" for k in range(300)]
+        for i in range(150):
+            body = template + [f"o{family}_{i}_{k}" for k in range(100)]
+            changed, share = list(body), rnd.choice([0.01, 0.02, 0.03, 0.05])
+            for at in rnd.sample(range(len(body)), int(share * len(body))):
+                changed[at] = f"c{rnd.random()}"
+            a, b = 10_000 * family + 2 * i, 10_000 * family + 2 * i + 1
+            texts[a], texts[b] = " ".join(body), " ".join(changed)
+            pairs.append((a, b))
+    got = {r.doc_id: r.group_id for r in simhash.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_pivots_discard_within_a_bucket(spark):
+    """Fingerprints of one bucket that differ in the other ranges: the pivots' cells keep most of them from meeting."""
+    rnd = random.Random(2)
+    fps = sorted({rnd.getrandbits(26) for _ in range(600)})
+    left = simhash.survivors(spark.createDataFrame([(x,) for x in fps], "fp long")).count()
+    inside = sum(abs(a.bit_count() - b.bit_count()) <= 2 for i, a in enumerate(fps) for b in fps[:i])
+    assert left < inside < 0.75 * len(fps) * (len(fps) - 1) / 2
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(1, word("a", 50)), (1, word("b", 50)), (None, word("c", 50)), (None, word("c", 50)), (None, word("a", 50)), (2, word("c", 50) + " more"), (None, word("d", 60)), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in kept) == [(0, ""), (0, "d0"), (1, "a0"), (1, "b0"), (2, "c0")]
 
 
 def test_components_of_long_chains(spark):
