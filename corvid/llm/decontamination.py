@@ -12,11 +12,12 @@ Slot consistency: a found window pairs the item's slot values with the document'
 re-parameterisation a value of the item always turns into the same value; windows that disagree
 with the commonest pairing of their (document, item) don't count.
 
-Before the join, windows pass a sieve: a bitmap of SIEVE bits of the benchmark's hashes, of a fixed
-size (SIEVE / 8 bytes) whatever the benchmark's. It only saves rows: what passes is joined.
+Before the join, windows pass a sieve: a bitmap of the benchmark's hashes of SIEVE_BITS bits for each
+of its windows, of SIEVE_MOST bits (512 KB) at most. It only saves rows: what passes is joined.
 
-Defined results: null or empty text, or a null item: no tokens, not contaminated. Repeated rows:
-equal results for each doc_id. A null doc_id can't be named: it is not reported and stays in clean(). Empty benchmark: nothing is contaminated.
+Defined results: null or empty text, or a null item: no tokens, not contaminated. Rows are told apart
+by doc_id and a hash of the text, so rows without a doc_id, or of one doc_id with different texts, get
+results of their own, and repeated rows equal ones. Empty benchmark: nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, let, maybe_broadcast
+from .common import cut, let, maybe_broadcast
 
 WINDOW, LITERALS, SIMILARITY = 5, 2, 0.8
-SIEVE = 1 << 18
+SIEVE_BITS, SIEVE_MOST = 32, 1 << 22
 #: Units of measure that become placeholders after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb lbs ml cl dl l s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres mph kmh hz khz mhz ghz w kw mw v a kb mb gb tb usd eur gbp dollars euros percent"
 #: Between a placeholder's type and its value.
@@ -49,7 +50,7 @@ def marked(text: Column, names: bool = True) -> Column:
     return F.filter(F.split(out, " "), lambda t: t != "")
 
 
-def spots(text: Column, sieve: Column | None, sieve_lengths: list[int] | None) -> Column:
+def spots(text: Column, sieve: tuple[Column, int] | None, sieve_lengths: list[int] | None) -> Column:
     """Array of struct(n, pos, hash, form, length, own): the windows of a text that pass the sieve, own their tokens.
 
     Forms: "typed" hashes placeholders by type; "plain" names as words; "value" all placeholders by
@@ -58,8 +59,9 @@ def spots(text: Column, sieve: Column | None, sieve_lengths: list[int] | None) -
     """
 
     def passes(hash_: Column) -> Column:
-        bit = hash_.bitwiseAND(F.lit(SIEVE - 1).cast("long"))
-        return F.bit_get(F.get(sieve, F.shiftright(bit, 5).cast("int")), (bit % 32).cast("int")) == 1
+        words, bits = sieve
+        bit = hash_.bitwiseAND(F.lit(bits - 1).cast("long"))
+        return F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
 
     def at(m: Column, length: int) -> Column:
         """The places of windows of a length; those shorter than WINDOW are an item's only one."""
@@ -89,7 +91,7 @@ def spots(text: Column, sieve: Column | None, sieve_lengths: list[int] | None) -
     return let(marked(text), lambda m: let(F.struct(typed(m).alias("h"), plain(m).alias("p"), value(m).alias("v"), kind(m).alias("k")), lambda x: all_of(m, x["h"], x["p"], x["v"], x["k"])))
 
 
-def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None = None, sieve_lengths: list[int] | None = None) -> DataFrame:
+def window_rows(rows: DataFrame, key: str, text: Column, sieve: tuple[Column, int] | None = None, sieve_lengths: list[int] | None = None) -> DataFrame:
     """key, n (tokens), pos, hash, slots (the values of the window's placeholders by their place)."""
     out = rows.select(key, F.explode(spots(text, sieve, sieve_lengths)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.form", "x.length", "x.own")
     slot = lambda t: F.when((F.substring(t, 2, 1) == MARK) & ((F.col("form") == "typed") | (F.substring(t, 1, 1) != "@")), F.substring(t, 3, 1 << 30))
@@ -98,38 +100,45 @@ def window_rows(rows: DataFrame, key: str, text: Column, sieve: Column | None =
     return out.where((F.col("form") != "typed") | whole | (F.size(F.filter("slots", lambda t: t.isNull())) >= LITERALS)).select(key, "n", "pos", "hash", "slots")
 
 
-def sieve_of(bench: DataFrame) -> Column:
-    """The bitmap as an array literal: SIEVE / 32 numbers of 32 bits, made from at most as many rows."""
-    slot = F.col("hash").bitwiseAND(F.lit(SIEVE - 1).cast("long"))
-    words = bench.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b"))
-    found = {r["i"]: r["b"] for r in words.collect()}
-    return F.expr("array(" + ",".join(f"{found.get(i, 0)}L" for i in range(SIEVE // 32)) + ")")
+def sieve_of(bench: DataFrame, rows: int) -> tuple[Column, int]:
+    """The bitmap as an array literal of numbers of 64 bits, and its bits: a power of two."""
+    bits = min(max(1 << 12, 1 << (SIEVE_BITS * rows).bit_length()), SIEVE_MOST)
+    slot = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = bench.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    found = {r["i"]: r["b"] for r in words.collect()}  # at most SIEVE_MOST / 64 rows
+    listed = ",".join(str(found.get(i, 0)) for i in range(bits // 64))
+    return F.expr(f"cast(split('{listed}', ',') as array<bigint>)"), bits  # one constant to the plan
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """docs' doc_id and text, with row: its doc_id, which may be null, and a hash of its text. Structs with nulls inside are equal where their fields are."""
+    return docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_tokens (of the item), n_found (in windows that are found), coverage, n_slots, n_changed for every item at least one window of which is found."""
+    """row (doc_id and a hash of the text), item_id, n_tokens (of the item), n_found (in windows that are found), coverage, n_slots, n_changed for every item at least one window of which is found."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
     bench = cut(window_rows(items, "item_id", F.col("text")).distinct())
+    rows = bench.count()
     short = sorted(r["n"] for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect())
     size = bench.groupBy("item_id").agg(F.max("n").alias("n_tokens"))
-    own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    found = window_rows(own, "doc_id", F.col("text"), sieve_of(bench), short).select("doc_id", "hash", "slots")
-    theirs = maybe_broadcast(bench.select("item_id", "pos", "hash", F.col("slots").alias("given")), bench.count())
-    key = ["doc_id", "item_id", "pos", "hash"]
+    found = window_rows(named(docs), "row", F.col("text"), sieve_of(bench, rows), short).select("row", "hash", "slots")
+    theirs = maybe_broadcast(bench.select("item_id", "pos", "hash", F.col("slots").alias("given")), rows)
+    key = ["row", "item_id", "pos", "hash"]
     pairs = cut(found.join(theirs, "hash").groupBy(*key, "given", "slots").agg(F.count(F.lit(1)).alias("times")))
     pair = F.explode(F.filter(F.arrays_zip("given", "slots"), lambda z: z["given"].isNotNull())).alias("z")
     votes = pairs.select(*key, F.col("slots").alias("whole"), pair).select(*key, "whole", F.col("z.given").alias("g"), F.col("z.slots").alias("s"))
-    usual = votes.groupBy("doc_id", "item_id", "g", "s").agg(F.countDistinct("pos").alias("v")).groupBy("doc_id", "item_id", "g").agg(F.max_by("s", F.struct("v", "s")).alias("usual"))
+    usual = votes.groupBy("row", "item_id", "g", "s").agg(F.countDistinct("pos").alias("v")).groupBy("row", "item_id", "g").agg(F.max_by("s", F.struct("v", "s")).alias("usual"))
     # Slots hold nulls, so they are compared as text.
     as_text = lambda c: F.to_json(F.struct(F.col(c).alias("slots"))).alias("t")
-    odd = votes.join(usual, ["doc_id", "item_id", "g"]).where(F.col("s") != F.col("usual")).select(*key, as_text("whole")).distinct()
+    odd = votes.join(usual, ["row", "item_id", "g"]).where(F.col("s") != F.col("usual")).select(*key, as_text("whole")).distinct()
     good = pairs.withColumn("t", as_text("slots")).join(odd, [*key, "t"], "left_anti")
     changed = F.size(F.filter(F.arrays_zip("given", "slots"), lambda z: z["given"].isNotNull() & (z["given"] != z["slots"])))
     slots = F.size(F.filter("given", lambda g: g.isNotNull()))
     spans = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + WINDOW - 1))))  # at most an item's places
-    out = good.groupBy("doc_id", "item_id").agg(spans.alias("places"), F.sum(slots).alias("n_slots"), F.sum(changed).alias("n_changed"))
+    out = good.groupBy("row", "item_id").agg(spans.alias("places"), F.sum(slots).alias("n_slots"), F.sum(changed).alias("n_changed"))
     out = out.join(maybe_broadcast(size, size.count()), "item_id").withColumn("n_found", F.least(F.size("places"), F.col("n_tokens")))
-    return out.select("doc_id", "item_id", "n_tokens", "n_found", (F.col("n_found") / F.col("n_tokens")).alias("coverage"), "n_slots", "n_changed")
+    return out.select("row", "item_id", "n_tokens", "n_found", (F.col("n_found") / F.col("n_tokens")).alias("coverage"), "n_slots", "n_changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,13 +147,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ascending), coverage (the greatest), reparameterised of every document with a doc_id."""
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.max(F.col("n_changed") > 0).alias("reparameterised"))
-    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    """doc_id, contaminated, n_items, items (ascending), coverage (the greatest), reparameterised of every document."""
+    found = cut(contaminated(docs, benchmark).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.max(F.col("n_changed") > 0).alias("reparameterised")))
+    rows = named(docs).select("doc_id", "row").join(maybe_broadcast(found, found.count()), "row", "left")
     return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = cut(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(maybe_broadcast(bad, bad.count()), "doc_id", "left_anti").select(*columns_of(docs))
+    bad = cut(contaminated(docs, benchmark).select(F.col("row.doc_id").alias("bad_id"), F.col("row.text_hash").alias("bad_hash")).distinct())
+    bad = maybe_broadcast(bad, bad.count())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")
