@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, maybe_broadcast, shared_dir
+from .common import columns_of, cut, fresh, maybe_broadcast, shared_dir
 
 TARGET_BYTES = 128 << 20
 TIER_BASE = 4
 RUN_LEAST = 2
+#: Shards whose sizes one task sums up.
+SLICE_SHARDS = 10_000
 MANIFEST = "shard string, file string, rows long, bytes long, tier int, version long"
-RUN = "__shard_run"
 
 
 class Lake:
@@ -84,47 +85,59 @@ class Lake:
         return version
 
     def plan(self) -> DataFrame:
-        """The latest manifest with run: its number, null for shards that stay."""
+        """The latest manifest with run: its number from 0, null for shards that stay.
+
+        Sizes are summed up in slices of SLICE_SHARDS shards by a hash of the file, and then slice by slice, so no task
+        sorts a whole tier.
+        """
         small = self.manifest().where(F.col("bytes") < self.target)
-        cum = F.sum("bytes").over(W.partitionBy("tier").orderBy("file").rowsBetween(W.unboundedPreceding, -1))
-        small = small.withColumn("run", F.floor(F.coalesce(cum, F.lit(0)) / self.target))
-        in_run = W.partitionBy("tier", "run")
-        small = small.withColumn("n", F.count(F.lit(1)).over(in_run)).where(F.col("n") >= RUN_LEAST)
-        return self.manifest().join(small.select("file", F.concat_ws("-", "tier", "run").alias("run")), "file", "left")
+        slices = max(1, small.count() // SLICE_SHARDS)
+        small = small.withColumn("slice", F.pmod(F.xxhash64("file"), F.lit(slices)))
+        per = small.groupBy("tier", "slice").agg(F.sum("bytes").alias("all"))
+        up_to = lambda w: F.coalesce(F.sum(F.col("all")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        per = per.select("tier", "slice", up_to(W.partitionBy("tier").orderBy("slice")).alias("before"))
+        within = F.coalesce(F.sum("bytes").over(W.partitionBy("tier", "slice").orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        small = small.withColumn("within", within).join(per, ["tier", "slice"])
+        small = cut(small.select("file", "tier", F.floor((F.col("before") + F.col("within")) / self.target).alias("nth")))
+        runs = small.groupBy("tier", "nth").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUN_LEAST)
+        # Numbered in the order of tier and place: a tier's runs begin after those of the tiers before.
+        tiers = runs.groupBy("tier").agg(F.max("nth").alias("most"))
+        first = F.coalesce(F.sum(F.col("most") + 1).over(W.orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        runs = runs.join(tiers.select("tier", first.alias("first")), "tier").select("tier", "nth", (F.col("first") + F.col("nth")).cast("int").alias("run"))
+        return self.manifest().join(small.join(runs, ["tier", "nth"]).select("file", "run"), "file", "left")
 
     def compact(self) -> int:
-        """Merges the planned runs and commits a version with what results; the version stays if there are none."""
+        """Merges the planned runs, each by one task into one file, and commits a version with what results; the version stays if there are none."""
         version = max(self.versions(), default=0)
         plan = cut(self.plan())
-        runs = plan.where("run is not null").select("run").distinct().count()
-        if not runs:
+        most = plan.agg(F.max("run")).first()[0]
+        if most is None:
             return version
         version += 1
         folder = f"merged-{version:012d}-{uuid.uuid4().hex[:8]}"
-        rows = self._rows(plan.where("run is not null").select("file", F.col("run").alias(RUN)))
-        rows.repartition(runs, RUN).write.partitionBy(RUN).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
-        merged = self._shards(folder, version).withColumn("shard", F.regexp_replace("shard", f"/{RUN}=([^/]+)/.*$", "/$1"))
-        self._commit(plan.where("run is null").drop("run").unionByName(merged), version)
+        rows, run = self._rows(plan.where("run is not null").select("file", F.struct("run").alias("side")))
+        rows.repartitionById(most + 1, F.col(run)["run"]).drop(run).write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+        self._commit(plan.where("run is null").drop("run").unionByName(self._shards(folder, version)), version)
         return version
 
-    def _rows(self, shards: DataFrame) -> DataFrame:
-        """The rows of the shards (file, ...), with the other columns of shards."""
-        names = [r["folder"] for r in shards.select(F.substring_index("file", "/", 1).alias("folder")).distinct().collect()]
-        key, parts = "__shard_file", []
-        for folder in sorted(names):
-            raw = self.spark.read.parquet(f"{self.root}/data/{folder}")
-            at = F.regexp_extract("_metadata.file_path", f"/data/({folder}/.*)$", 1)
-            parts.append(raw.select(*columns_of(raw.drop(RUN)), at.alias(key)))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        side = shards.withColumnRenamed("file", key)
-        return out.join(maybe_broadcast(side, side.count()), key).drop(key)
+    def _rows(self, shards: DataFrame) -> tuple[DataFrame, str]:
+        """The rows of the shards (file, side), read from these files alone, with a column that holds side; and that column's name."""
+        files = sorted(r["file"] for r in shards.select("file").collect())  # paths, as Spark lists them to scan a table
+        raw = self.spark.read.option("mergeSchema", len({f.partition("/")[0] for f in files}) > 1).parquet(*[f"{self.root}/data/{f}" for f in files])
+        key, side = fresh(raw, "__shard_file"), fresh(raw, "__shard_side")
+        at = F.regexp_extract("_metadata.file_path", "/data/([^/]+/[^/]+)$", 1)
+        rows = raw.select(*columns_of(raw), at.alias(key))
+        known = shards.select(F.col("file").alias(key), F.col("side").alias(side))
+        return rows.join(maybe_broadcast(known, len(files)), key).drop(key), side
 
     def read(self) -> DataFrame:
-        """The rows of the latest version, with shard, tier, shard_rows, shard_bytes and version under names led by `__`."""
-        side = [F.col(c).alias(f"__{c}") for c in ("shard", "rows", "bytes", "tier", "version")]
-        return self._rows(cut(self.manifest().select("file", *side)))
+        """The rows of the latest version."""
+        rows, side = self.stored()
+        return rows.drop(side)
+
+    def stored(self) -> tuple[DataFrame, str]:
+        """The rows of the latest version, with a struct of shard, rows, bytes, tier and version of their shard; and its name."""
+        return self._rows(cut(self.manifest().select("file", F.struct("shard", "rows", "bytes", "tier", "version").alias("side"))))
 
     def vacuum(self) -> None:
         """Deletes the folders of data, and the manifests, that the latest version doesn't need."""
@@ -142,5 +155,7 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, rows_per_file: int
     lake.vacuum()
     if lake.manifest().isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, shard string, tier int, shard_rows long, shard_bytes long, version long")
-    name = F.regexp_replace("__shard", "^(\\w+)-0*(\\d+)-[0-9a-f]+", "$1-$2")
-    return lake.read().select("doc_id", name.alias("shard"), F.col("__tier").alias("tier"), F.col("__rows").alias("shard_rows"), F.col("__bytes").alias("shard_bytes"), F.col("__version").alias("version"))
+    rows, side = lake.stored()
+    of = F.col(side)
+    name = F.regexp_replace(of["shard"], "^(\\w+)-0*(\\d+)-[0-9a-f]+", "$1-$2")
+    return rows.select("doc_id", name.alias("shard"), of["tier"].alias("tier"), of["rows"].alias("shard_rows"), of["bytes"].alias("shard_bytes"), of["version"].alias("version"))
