@@ -9,8 +9,9 @@ shallowest linked level with the most quoted characters. Replies are followed to
 starts their thread; a conversation is ordered by the thread's turn, then by the replies' own.
 
 Originals are reduced to one row a hash, and one a conversation and hash, before the join, so a
-common line costs a row for each time it is quoted and no more. Positions are counted in blocks of
-BLOCK turns and then summed up, so that a long conversation is ranked by many tasks.
+common line costs a row for each time it is quoted and no more. Messages are sorted by ranges of
+conversation and order; positions are counted within a range and summed up over a conversation's
+ranges, so that a long conversation, or one message that everyone replies to, is ranked by many tasks.
 
 Defined results: null or empty text: empty own text, no quotes. Rows with a null conv_id or turn are neither
 linked nor linked to and have a null position. Repeated rows of one (conv_id, turn) are one message
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, let
 
-BLOCK = 1024
 QUOTE = "^(?:[ \\t]*+>)++"
 
 
@@ -102,14 +102,20 @@ def threads(links: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, conversation (that of the thread), thread_turn, position (from 0), parent_conv, parent_turn, n_quotes, n_linked, text (without quotes) of every message."""
     base = messages.select("conv_id", "turn", "role", "text")
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     links = cut(linked(base))
     roots = threads(links)
-    out = base.join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
-    out = out.withColumn("text", let(parsed(F.col("text")), own_text))
-    out = out.withColumn("conversation", F.coalesce("root_conv", "conv_id")).withColumn("thread_turn", F.coalesce("root_turn", "turn")).withColumn("block", F.floor(F.col("thread_turn") / BLOCK))
-    per = out.groupBy("conversation", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("conversation").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("conversation", "block", before.alias("before"))
-    within = W.partitionBy("conversation", "block").orderBy("thread_turn", F.col("conv_id") != F.col("conversation"), "conv_id", "turn", "role", "text")
-    out = out.withColumn("nth", F.row_number().over(within)).join(per, ["conversation", "block"], "left")
-    return out.select("conv_id", "turn", "role", "conversation", "thread_turn", (F.col("before") + F.col("nth") - 1).alias("position"), "parent_conv", "parent_turn", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "text")
+    out = base.where(whole).join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
+    out = out.withColumn("conversation", F.coalesce("root_conv", "conv_id")).withColumn("thread_turn", F.coalesce("root_turn", "turn")).withColumn("text", let(parsed(F.col("text")), own_text))
+    order = ["thread_turn", F.col("conv_id") != F.col("conversation"), "conv_id", "turn", "role", "text"]
+    ranges = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cut(out.repartitionByRange(ranges, "conversation", *order).withColumn("range", F.spark_partition_id()))
+    per = out.groupBy("conversation", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conversation").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("conversation", "range", before.alias("before"))
+    nth = F.row_number().over(W.partitionBy("conversation", "range").orderBy(*order))
+    out = out.withColumn("nth", nth).join(per, ["conversation", "range"]).withColumn("position", F.col("before") + F.col("nth") - 1)
+    # Messages without a conv_id or turn meet in no join and no window.
+    rest = base.where(~whole).withColumn("text", let(parsed(F.col("text")), own_text)).withColumn("conversation", F.col("conv_id")).withColumn("thread_turn", F.col("turn"))
+    out = out.unionByName(rest, allowMissingColumns=True)
+    return out.select("conv_id", "turn", "role", "conversation", "thread_turn", "position", "parent_conv", "parent_turn", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "text")
