@@ -17,8 +17,10 @@ How it runs:
    most 256 * 255 nodes, are finished by the driver: 2 MB at any input.
 2. score: texts are dealt by hash to blocks of about BLOCK_BYTES. A block asks for each of its
    distinct tokens and n-grams once; buckets answer with counts and log-probabilities; the block's
-   texts add them up. No text or dictionary is collected, and no key's rows meet in one task but
-   for one packed row from each block.
+   texts add them up. No text or dictionary is collected. There are MOST_BUCKETS buckets at most, so
+   packed rows grow with the blocks. Blocks' requests to a bucket are split over as many copies of it as make
+   a copy's requests about ANSWER_BYTES, or the bucket's own size where that is larger; so the most
+   common contexts' requests meet in no one task, and copies take no more room than requests do.
 
 Defined results: null or empty text: the end alone. A null doc_id is in no fold and is learned
 from. Repeated rows: equal results. No learned text: every bit costs 1/2. Empty table: empty result.
@@ -38,8 +40,10 @@ from .common import cut, in_fold
 
 DEPTH = 5
 END = b"\xff"
-#: Bytes of text in a block, and in a bucket's share; above 10 TB a larger BLOCK_BYTES keeps rows few.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and in a bucket's share while there are at most MOST_BUCKETS.
+BLOCK_BYTES, MOST_BUCKETS = 8 << 20, 1024
+#: Bytes of requests that a copy of a bucket answers.
+ANSWER_BYTES = 16 << 20
 CHUNK = 2 << 20
 FLUSH = 400_000
 #: Stands for the end among the hashes of tokens.
@@ -47,6 +51,7 @@ END_KEY = 0x0123456789ABCDEF
 FOLD = (7, 2)
 U64, I64 = np.dtype("<u8"), np.dtype("<i8")
 PACKED = "kind string, bucket long, block long, keys binary, counts binary"
+ASKED = "kind string, bucket long, copy long, block long, keys binary, counts binary"
 PACKED_NAMES = ["kind", "bucket", "block", "keys", "counts"]
 
 
@@ -274,10 +279,16 @@ def log10_next(code: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
 
 
 class Model:
-    """totals: kind, bucket, block (null), keys, counts, a row a bucket; top: levels 0 and 1; n, v: learned tokens, distinct ones."""
+    """totals: kind, bucket, block (null), keys, counts, a row a bucket; top: levels 0 and 1; n, v: learned tokens, distinct ones; sizes: distinct keys by kind and bucket."""
 
-    def __init__(self, totals: DataFrame, top: dict[int, Level], n: int, v: int, buckets: int):
-        self.totals, self.top, self.n, self.v, self.buckets = totals, top, n, v, buckets
+    def __init__(self, totals: DataFrame, top: dict[int, Level], n: int, v: int, buckets: int, sizes: dict[tuple[str, int], int]):
+        self.totals, self.top, self.n, self.v, self.buckets, self.sizes = totals, top, n, v, buckets, sizes
+
+    def copies(self, blocks: int, block_bytes: int) -> dict[tuple[str, int], int]:
+        """How many copies of each bucket answer, by kind and bucket. A block asks for no more keys than it has bytes, as they fall on the buckets' sizes."""
+        all_ = {k: sum(n for (kind, _), n in self.sizes.items() if kind == k) for k in "wg"}
+        asks = {(k, b): 8 * blocks * min(n, block_bytes * n // all_[k]) for (k, b), n in self.sizes.items()}
+        return {at: max(1, min(blocks, -(-asks[at] // max(ANSWER_BYTES, 16 * n)))) for at, n in self.sizes.items()}
 
 
 def unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
@@ -299,7 +310,8 @@ def train(docs: DataFrame, buckets: int) -> Model:
 
     schema = "kind string, bucket long, keys binary, counts binary, n long, v long, node binary, n0 binary, n1 binary, log_w binary"
     summed = cut(counted.groupBy("kind", "bucket").applyInPandas(total, schema))
-    size = {r["kind"]: (r["n"], r["v"]) for r in summed.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    own = [(r["kind"], r["bucket"], r["n"], r["v"]) for r in summed.select("kind", "bucket", "n", "v").collect()]  # at most 2 * MOST_BUCKETS rows
+    size = [sum(r[i] for r in own if r[0] == "w") for i in (2, 3)]
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,7 +322,7 @@ def train(docs: DataFrame, buckets: int) -> Model:
     ones = ones.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("log_w")).toPandas().sort_values("node")
     one = Level(ones["node"].to_numpy().astype(U64), *[ones[c].to_numpy(float) for c in ("n0", "n1", "log_w")])
     zero = Level(*one.up(1))
-    return Model(summed.select("kind", "bucket", F.lit(None).cast("long").alias("block"), "keys", "counts"), {0: zero, 1: one}, *size.get("w", (0, 0)), buckets)
+    return Model(summed.select("kind", "bucket", F.lit(None).cast("long").alias("block"), "keys", "counts"), {0: zero, 1: one}, *size, buckets, {(k, b): v for k, b, _, v in own})
 
 
 # Scoring ---------------------------------------------------------------------------------------
@@ -321,10 +333,12 @@ def block_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct(np.append(token_keys(texts), U64.type(END_KEY)))[0], merged([distinct(code) for code in codes(texts)])[0]
 
 
-def asked(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def asked(pdf: pd.DataFrame, buckets: int, copies: dict[tuple[str, int], int]) -> pd.DataFrame:
     words, grams = block_keys([normal(t) for t in pdf["text"]])
     block = int(pdf["block"].iloc[0])
-    return pd.DataFrame(packed("w", words, None, buckets, block) + packed("g", grams, None, buckets, block), columns=PACKED_NAMES)
+    out = pd.DataFrame(packed("w", words, None, buckets, block) + packed("g", grams, None, buckets, block), columns=PACKED_NAMES)
+    out.insert(2, "copy", [block % copies.get(at, 1) for at in zip(out["kind"], out["bucket"], strict=True)])
+    return out
 
 
 def answered(pdf: pd.DataFrame, top: dict[int, Level]) -> pd.DataFrame:
@@ -408,10 +422,13 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
-    model = train(docs, parts)
+    model = train(docs, min(parts, MOST_BUCKETS))
     n, v, buckets, top = model.n, model.v, model.buckets, model.top
+    copies = model.copies(parts, block_bytes)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("block")
     blocks = docs.select("doc_id", "text", in_fold(F.col("doc_id"), *FOLD).alias("held_out"), block)
-    ask = blocks.groupBy("block").applyInPandas(lambda pdf: asked(pdf, buckets), PACKED)
-    answers = ask.unionByName(model.totals).groupBy("kind", "bucket").applyInPandas(lambda pdf: answered(pdf, top), "block long, kind string, bucket long, values binary")
+    ask = blocks.groupBy("block").applyInPandas(lambda pdf: asked(pdf, buckets, copies), ASKED)
+    every = docs.sparkSession.createDataFrame([(k, b, c) for (k, b), c in copies.items()], "kind string, bucket long, copies long")
+    totals = model.totals.join(F.broadcast(every), ["kind", "bucket"]).select("kind", "bucket", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "block", "keys", "counts")
+    answers = ask.unionByName(totals).groupBy("kind", "bucket", "copy").applyInPandas(lambda pdf: answered(pdf, top), "block long, kind string, bucket long, values binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: scored(a, b, n, v, buckets), RESULT)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, h long, fp string, held_out boolean, n_words int, key string, w string, block long, `a.b` int, rep long, band int, copies int, run string"
 EXTRA = (0.5, 1, 2, "x", True, 3, "k", "w", 7, 8, 9, 10, 11, "r")
 WORDS = "the quick brown fox jumps over a lazy dog and runs away from this big bad house".split()
+CLASH = "__mix_words int, __mix_plan int, __simhash_keep int, __language_id int, __shard_side int, __shard_file int, row int, text_hash int, range int, own int"
 
 
 def text(n: int, step: int = 1) -> str:
@@ -50,7 +51,7 @@ def runs(bench, labels):
         "op1": lambda d: rules.judge(d, labels),
         "op2": mixing.mix,
         "op5": lambda d: ranking.rank(d, labels),
-        "op6": lambda d: decontamination.flag(d.where("doc_id is not null"), bench),
+        "op6": lambda d: decontamination.flag(d, bench),
         "op7": lambda d: sharding.shard(d),
         "op8": lambda d: context_tree.score(d, block_bytes=100_000),
         "op9": simhash.near_duplicates,
@@ -61,7 +62,7 @@ def runs(bench, labels):
 @pytest.mark.parametrize("name", ["op1", "op2", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_every_row_gets_a_result(name, docs, bench, labels):
     out = runs(bench, labels)[name](docs).collect()
-    given = [r.doc_id for r in docs.collect() if name != "op6" or r.doc_id is not None]
+    given = [r.doc_id for r in docs.collect()]
     key = lambda x: (x is None, x)
     assert sorted((r.doc_id for r in out), key=key) == sorted(given, key=key)
     by = {}
@@ -75,9 +76,18 @@ def test_empty_table(name, docs, bench, labels):
     assert runs(bench, labels)[name](docs.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_are_contaminated_too(spark):
+    item = "A train leaves at noon and the passengers wave to those who stay behind on the platform"
+    rows = [(None, f"before {item} after"), (None, "nothing of it here at all"), (1, "a text of its own"), (1, item), (1, item), (2, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = [(r.doc_id, r.contaminated) for r in decontamination.flag(given, items).collect()]
+    assert sorted(got, key=str) == sorted([(None, True), (None, False), (1, False), (1, True), (1, True), (2, False)], key=str)
+    assert sorted((r.text or "" for r in decontamination.clean(given, items).collect())) == ["", "a text of its own", "nothing of it here at all"]
+
+
 def test_empty_side_tables(docs, bench, labels):
-    some = docs.where("doc_id is not null")
-    assert not any(r.contaminated for r in decontamination.flag(some, bench.limit(0)).collect())
+    assert not any(r.contaminated for r in decontamination.flag(docs, bench.limit(0)).collect())
     assert all(r.score == 0.5 and r.predicted == 1 for r in ranking.rank(docs, labels.limit(0)).collect())
     assert rules.judge(docs, labels.limit(0)).count() == docs.count()
 
@@ -95,6 +105,17 @@ def test_stages(spark, docs, bench, tmp_path):
         assert now.count() >= 0
 
 
+def test_stages_keep_columns_that_clash(spark, docs, bench, tmp_path):
+    sf_dir = str(tmp_path)
+    bench.write.parquet(f"{sf_dir}/benchmark.parquet")
+    names = [c.split()[0] for c in CLASH.split(", ")]
+    now = docs.where("doc_id in (1, 7, 8)").select("doc_id", "text", "lang", "source", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf_dir)
+        assert out.columns == now.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(names)), name
+    assert sharding.shard(now).count() == now.count()
+
+
 def test_language_stage_rejects_only_the_unclear(spark, docs):
     kept = {r.doc_id for r in language_id.keep_identified(docs).collect()}
     assert {1, 2, 7, 8} <= kept and not kept & {3, 4, 5, 6}

@@ -371,6 +371,16 @@ def test_quotations_equal_the_sql(spark, sf, tmp_path):
         assert [tuple(None if x != x else x for x in r) for r in want] == got
 
 
+def test_a_message_that_all_quote_is_ranked_by_many_tasks(spark):
+    """Replies of thousands of conversations to one message: their positions are those of one sort."""
+    first = spark.createDataFrame([(0, 0, "user", "Who comes along tonight?")], "conv_id long, turn long, role string, text string")
+    replies = spark.range(1, 3001).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("> Who comes along tonight?\nNumber "), F.col("id")).alias("text"))
+    got = quotations.conversations(first.unionByName(replies))
+    assert all(r.position == r.conv_id and r.conversation == 0 for r in got.collect())
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(conversation" in plan and "range" in plan
+
+
 def test_long_conversations_get_all_positions(spark):
     many = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     got = quotations.conversations(many).select("turn", "position").collect()
@@ -441,7 +451,7 @@ def test_templates(spark):
     got = {r.doc_id: r for r in decontamination.flag(docs, bench).collect()}
     assert sorted(i for i in got if got[i].contaminated) == [1, 2, 7, 8, 9, 12, 13]
     assert got[2].reparameterised and not got[1].reparameterised and got[1].items == [10]
-    hits = {r.doc_id: r for r in decontamination.hits(docs, bench).collect()}
+    hits = {r.row.doc_id: r for r in decontamination.hits(docs, bench).collect()}
     assert hits[7].coverage < hits[2].coverage  # slots that disagree with each other don't count
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [3, 4, 5, 6]
 
@@ -464,10 +474,53 @@ def test_planted_passages_are_found(spark, sf):
     assert want <= got and len(got - want) <= 0.01 * 1000
 
 
+def brute_hits(texts, items):
+    """doc -> items whose windows of five tokens, plain words or typed, are found verbatim in it to 0.8 of their tokens."""
+    tokens = lambda t, names: re.sub(r"[^a-z0-9@# ]+", " ", re.sub(r"[0-9]+", "#", re.sub(r"(?<=[a-z,] )[A-Z][a-z]+(?![a-z0-9])", "@", t) if names else t).lower()).split()
+    out = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            covered = set()
+            for names in (True, False):
+                own, theirs = tokens(text, names), tokens(item, names)
+                grams = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+                covered |= {k + j for k in range(len(theirs) - 4) for j in range(5) if tuple(theirs[k : k + 5]) in grams}
+            if len(covered) >= 0.8 * len(tokens(item, False)):
+                out.setdefault(d, set()).add(i)
+    return out
+
+
+def test_hits_equal_brute_force(spark):
+    rnd = random.Random(8)
+    words = [f"{a}{b}ing" for a in "bcdfghklmnprst" for b in "aeiou"]
+    items = {i: " ".join(rnd.choices(words, k=rnd.randint(12, 30))) for i in range(12)}
+    texts = {}
+    for d in range(80):
+        before, after = (" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(2))
+        own = items[d % 12].split()
+        kept = own[: rnd.randint(len(own) // 2, len(own))]
+        texts[d] = f"{before} {' '.join(kept if d % 3 else own)} {after}"
+    got = {}
+    docs, bench = (spark.createDataFrame(list(x.items()), s) for x, s in ((texts, "doc_id long, text string"), (items, "item_id long, text string")))
+    for r in decontamination.flag(docs, bench).where("contaminated").collect():
+        got[r.doc_id] = set(r["items"])
+    assert got == brute_hits(texts, items)
+
+
+def test_every_benchmark_item_is_found(spark, sf):
+    """Each item of the table, and items of little but numbers, names or units, pasted into a text."""
+    own = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    odd = ["Calculate 12 + 34 * 56 - 78 / 90 + 11 = x", "Solve 3 4 5 6 7 8 9 for Anna and Bob", "7 kg 8 kg 9 kg 10 kg 11 kg", "Anna Bob Carl Dora Emil Fritz", "Who?", "2 + 2"]
+    items = own + [(10_000 + i, t) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame([(i, f"some words stand before it: {t} and others follow") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert all(r.doc_id in r["items"] for r in decontamination.flag(docs, bench).collect())
+
+
 def test_the_sieve_drops_nothing(spark, docs, monkeypatch):
     bench = docs.limit(5).select(F.col("doc_id").alias("item_id"), "text")
     with_sieve = sorted(map(tuple, decontamination.hits(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "sieve_of", lambda _: None)
+    monkeypatch.setattr(decontamination, "sieve_of", lambda *_: None)
     assert with_sieve == sorted(map(tuple, decontamination.hits(docs, bench).collect()))
 
 
@@ -496,6 +549,34 @@ def test_compaction(spark, docs, tmp_path):
     assert lake.read().count() == 200
 
 
+def test_several_appends_and_compactions(spark, docs, tmp_path, monkeypatch):
+    """Arrivals of several times meet in tiers; every version holds exactly the rows appended so far, and no run exceeds the target by more than a shard."""
+    monkeypatch.setattr(sharding, "SLICE_SHARDS", 3)
+    lake, key = sharding.Lake(spark, str(tmp_path), target_bytes=60_000), lambda rows: sorted(map(tuple, rows))
+    all_, parts = docs.collect(), docs.repartition(4, "doc_id")
+    counts, done = [], []
+    for step in range(5):
+        lake.append(parts.where(f"doc_id % 5 = {step}"))
+        if step != 2:
+            before = {r.file: r for r in lake.manifest().collect()}
+            plan = lake.plan().collect()
+            lake.compact()
+            runs = {}
+            for r in plan:
+                if r.run is not None:
+                    runs.setdefault(r.run, []).append(r)
+            assert all(len(v) >= sharding.RUN_LEAST and len({r.tier for r in v}) == 1 and sum(r.bytes for r in v) - max(r.bytes for r in v) < 60_000 for v in runs.values())
+            after = {r.file: r for r in lake.manifest().collect()}
+            assert set(before) - set(after) == {r.file for v in runs.values() for r in v} and len(set(after) - set(before)) == len(runs)
+            assert sorted(r.rows for f, r in after.items() if f not in before) == sorted(sum(r.rows for r in v) for v in runs.values())
+            counts.append(len(runs))
+        done.append(step)
+        assert key(lake.read().collect()) == key(r for r in all_ if r.doc_id % 5 in done)
+    assert sum(counts) >= 4
+    lake.vacuum()
+    assert key(lake.read().collect()) == key(all_)
+
+
 def test_every_row_has_a_shard_of_its_size(spark, docs):
     got = sharding.shard(docs.repartition(6), target_bytes=100_000)
     per = got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("shard_rows").alias("m")).collect()
@@ -576,6 +657,48 @@ def test_context_tree_scores(spark, docs, rows, monkeypatch, chunk):
         assert r.score == pytest.approx(brute_score(texts[r.doc_id], counts, stop, context_tree.DEPTH), rel=1e-5)
 
 
+def test_copies_of_buckets_answer_alike(spark, docs, monkeypatch):
+    """Few buckets, each split into copies: the same scores."""
+    given = docs.select("doc_id", "text").limit(60)
+    want = {r.doc_id: r.score for r in context_tree.score(given).collect()}
+    monkeypatch.setattr(context_tree, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(context_tree, "ANSWER_BYTES", 2_000)
+    got = {r.doc_id: r.score for r in context_tree.score(given, block_bytes=4_000).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+    sizes = {("g", 0): 5_000, ("g", 1): 50, ("w", 0): 10}
+    copies = context_tree.Model(None, {}, 1, 1, 2, sizes).copies(1000, 1_000)
+    assert 1000 >= copies["g", 0] > copies["g", 1] >= 1 and 1 <= copies["w", 0] <= 1000
+
+
+def test_operators_travel_without_the_package(spark, sf, tmp_path):
+    """The queries with Python code run on executors that can't import corvid."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,4,2048]").config("spark.executor.memory", "2g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+from corvid.llm.queries import QUERIES
+def missing(_):
+    import importlib.util
+    return [importlib.util.find_spec("corvid") is None]
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(missing).collect() == [True]
+for name, query in QUERIES.items():
+    if name.split("_")[0] not in ("op1", "op3", "op5", "op8", "op9", "op10"):
+        continue
+    assert query(spark, {sf!r}).count() > 0, name
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env | {"SPARK_SCALA_VERSION": "2.13"}, check=True, timeout=600)
+
+
 def test_next_byte_probabilities_sum_to_one(rows):
     code, n = context_tree.distinct(np.concatenate(list(context_tree.codes([context_tree.normal(r.text) for r in rows[:20]]))), True)
     tree = context_tree.levels(code, n.astype(float), 0)
