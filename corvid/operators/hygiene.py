@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions.text import fingerprint, space_key, words
+from corvid.operators.lineage import cut
 
 
 def order_hash(seed: str, key: Column) -> Column:
@@ -90,17 +91,58 @@ def near_duplicates(rows: DataFrame, text: str = "text", threshold: float = 0.92
     sets = rows.select("id", F.array_sort(F.array_distinct(words(fingerprint(F.col(text))))).alias("w")).where(F.size("w") > 0)
     reps = sets.groupBy("w").agg(F.min("id").alias("rep"))
     freq = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ranked = reps.select("rep", F.explode("w").alias("t")).join(freq, "t").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("w"))
-    lead = F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.lit(threshold) * F.size("w") - F.lit(1e-9)) + 1).cast("int"))
-    keys = ranked.select("rep", "w", F.explode(lead).alias("k"))
+    ranked = reps.select("rep", F.explode("w").alias("t")).join(freq, "t").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: F.xxhash64(x["t"])).alias("w"))
+    ranked = cut(ranked.withColumn("n", F.size("w")))
+    lead = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1).cast("int"))
+    keys = ranked.select("rep", "n", F.posexplode(lead).alias("i", "k"))
     a, b = keys.alias("a"), keys.alias("b")
-    near = F.size(F.array_intersect("a.w", "b.w")) / F.greatest(F.size("a.w"), F.size("b.w"))
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep")) & (F.least(F.size("a.w"), F.size("b.w")) >= threshold * F.greatest(F.size("a.w"), F.size("b.w")))
-    pairs = a.join(b, on).where(near >= threshold).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), near.alias("similarity")).distinct()
+    # What is left of either row from the shared word on has to hold the whole overlap.
+    most, left = F.greatest("a.n", "b.n"), F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * most - 1e-9) & (left >= threshold * most - 1e-9)
+    met = a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    side = lambda k: ranked.select(F.col("rep").alias(k), F.col("w").alias(f"w{k}"))
+    near = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("similarity")).where(F.col("similarity") >= threshold)
     same = sets.join(reps, "w").where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return pairs.unionByName(same)
 
 
+def reject_near_duplicates(rows: DataFrame, text: str = "text", threshold: float = 0.92) -> DataFrame:
+    """rows (id, text) with accepted: in the order of id, a row is rejected if one accepted before it is a near duplicate.
+
+    Each round accepts the rows whose earlier near duplicates are all rejected, and rejects those with an accepted one;
+    there are as many rounds as the longest chain of such decisions.
+    """
+    found = cut(near_duplicates(rows, text, threshold))
+    copies = found.where("similarity = 1").select(F.col("b").alias("node"))  # either the row they equal is accepted, or what rejects it rejects them
+    pairs = found.where("similarity < 1").select("a", "b")
+    state = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("accepted", F.lit(None).cast("boolean")))
+    while not state.where("accepted is null").isEmpty():
+        first = pairs.join(state.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max(F.coalesce("accepted", F.lit(False))).alias("beaten"), F.min(F.when(F.col("accepted").isNull(), False).otherwise(True)).alias("known"))
+        now = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("beaten"), False).when(F.coalesce("known", F.lit(True)), True)
+        state = cut(state.join(first, "node", "left").select("node", now.alias("accepted")))
+    gone = state.where("not accepted").select("node").unionByName(copies).distinct()
+    out = rows.join(gone.select(F.col("node").alias("id"), F.lit(False).alias("accepted")), "id", "left")
+    return out.withColumn("accepted", F.coalesce("accepted", F.lit(True)))
+
+
+def resumed(questions: DataFrame, done: DataFrame, evaluate: Callable[[DataFrame], DataFrame], key: str = "question_id") -> DataFrame:
+    """done with the evaluation of the questions whose key it hasn't; a key that comes twice is evaluated once."""
+    new = questions.join(done.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    return done.unionByName(evaluate(new).select(*done.columns))
+
+
+def validation(rows: DataFrame, n: int, per_label: dict[str, int], types: Sequence[str]) -> DataFrame:
+    """rows (id, text, label, type) -> rule, found, ok: the number of rows and of each label, unique ids, duplicate questions, unknown types."""
+    by = [F.sum((F.col("label") == k).cast("long")).alias(f"label {k}") for k in per_label]
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.coalesce(F.col("type").isin(*types), F.lit(False))).cast("long")).alias("unknown types"), *by)
+    repeated = lambda key, name: rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias(name))
+    one = sums.crossJoin(repeated(F.col("id"), "repeated ids")).crossJoin(repeated(space_key(F.col("text")), "repeated questions"))  # a row each
+    want = {"rows": n, "unknown types": 0, "repeated ids": 0, "repeated questions": 0} | {f"label {k}": v for k, v in per_label.items()}
+    rules = F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias("found"), F.lit(v).alias("want")) for k, v in want.items()])
+    return one.select(F.explode(rules).alias("r")).select("r.rule", "r.found", (F.col("r.found") == F.col("r.want")).alias("ok"))
+
+
 def label_conflicts(rows: DataFrame, cosine_of: Column, threshold: float = 0.75) -> DataFrame:
     """rows: pairs (a_id, b_id, a_label, b_label, vectors) -> those with different labels above the threshold."""
     return rows.where((F.col("a_label") != F.col("b_label")) & (cosine_of > threshold))

@@ -61,6 +61,47 @@ def model_column(load: Callable[[], Callable[[Sequence[str]], Sequence]], text:
     return run(text)
 
 
+def with_retries(call: Callable[[str], object], tries: int = 3, wait: float = 1.0) -> Callable[[str], object]:
+    """call, tried again after a growing wait; the last failure is raised."""
+    import time
+
+    def tried(text: str) -> object:
+        for left in range(tries - 1, -1, -1):
+            try:
+                return call(text)
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(wait * (tries - left))
+        return None
+
+    return tried
+
+
+def isolated(load: Callable[[], Callable[[str], object]], text: Column, returns: str) -> Column:
+    """A struct of value and error: an outside model row by row; a row's failure gives its text and stops no other."""
+
+    @F.pandas_udf(f"value {returns}, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def one(text: str) -> tuple:
+            try:
+                return model(text), None
+            except Exception as e:  # isolated: it becomes the row's result
+                return None, f"{type(e).__name__}: {e}"
+
+        for s in batches:
+            yield pd.DataFrame([one(t) for t in s], columns=["value", "error"])
+
+    return run(text)
+
+
+def status(result: Column) -> Column:
+    """OK, MISS (no value) or ERROR of a struct of isolated()."""
+    return F.when(result["error"].isNotNull(), "ERROR").when(result["value"].isNull(), "MISS").otherwise("OK")
+
+
 def split_recursively(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
     """Chunks of up to `size` characters: cut at the coarsest separator there is, finer ones where a part is too long."""
     at = next((i for i, s in enumerate(separators) if s in text), None)
@@ -109,4 +150,4 @@ def recursive_chunks(text: Column, size: int = 1000, overlap: int = 150, separat
     return split(text)
 
 
-__all__ = ["fit_logistic", "grid", "model_column", "out_of_fold", "predict", "recursive_chunks", "split_recursively"]
+__all__ = ["fit_logistic", "grid", "isolated", "model_column", "out_of_fold", "predict", "recursive_chunks", "split_recursively", "status", "with_retries"]

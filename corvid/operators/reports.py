@@ -76,6 +76,14 @@ def pending(rows: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame
     return rows.join(done.select(key), key, "left_anti")
 
 
+def reviewed(queue: DataFrame, commands: DataFrame) -> DataFrame:
+    """queue (id, place from 1), commands (no from 1, key) -> id, decision: the n-th command is for the n-th item: yes, no, or null for a skip; nothing after a quit counts."""
+    stop = commands.where(F.lower(F.trim("key")) == "q").agg(F.min("no").alias("stop"))
+    said = commands.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("no") < F.col("stop")))  # one row
+    decision = F.when(F.lower(F.trim("key")) == "y", "yes").when(F.lower(F.trim("key")) == "n", "no")
+    return queue.join(said, F.col("place") == F.col("no"), "left").select("id", decision.alias("decision"))
+
+
 def capped_candidates(rows: DataFrame, reserved: DataFrame, key: Column, group: str, cap: int, order: Column, least_chars: int = 0) -> DataFrame:
     """New rows (id, text, group): no reserved key, each key once, at most cap a group in the given order."""
     from .retrieval import ranked
@@ -92,4 +100,4 @@ def projection(rows: DataFrame, vec: str = "embedding", k: int = 2) -> DataFrame
     return model.transform(data).withColumn("point", vector_to_array("__p")).drop("__v", "__p")
 
 
-__all__ = ["agreement", "arms", "by_difficulty", "capped_candidates", "correctness", "grid", "keyword_hit", "learning_curve", "pending", "projection", "variation"]
+__all__ = ["agreement", "arms", "by_difficulty", "capped_candidates", "correctness", "grid", "keyword_hit", "learning_curve", "pending", "projection", "reviewed", "variation"]

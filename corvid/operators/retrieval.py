@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from corvid.functions.text import provision, tokens
 from corvid.functions.vectors import cosine, squared_l2
 
-#: BM25 parameters; questions' term tables up to so many rows are broadcast.
+#: BM25 parameters; tables of at most so many rows and, in all, bytes are broadcast.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 DISTANCE_LIMIT = 1.35
 NO_DISTANCE = 999.0
 #: The files that Articles and Sections are looked up in.
@@ -23,9 +23,9 @@ NOT_PROVISIONS = ["contents", "seventh schedule", "eighth schedule", "ninth sche
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has few rows; else Spark chooses the join."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has few rows and, as JSON, bytes; else Spark chooses the join."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if max(n, rows or 0) <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rk") -> DataFrame:
@@ -57,42 +57,41 @@ def search_uploaded(questions: DataFrame, chunks: DataFrame, top_n: int = 2) ->
 
 
 class Bm25:
-    """The index as tables: tf (term, cid, tf), dl (cid, dl), idf (term, idf), and avgdl."""
+    """The index as tables: tf (cid, dl, term, tf), idf (term, idf), and avgdl."""
 
-    def __init__(self, tf: DataFrame, dl: DataFrame, idf: DataFrame, avgdl: float):
-        self.tf, self.dl, self.idf, self.avgdl = tf, dl, idf, avgdl
+    def __init__(self, tf: DataFrame, idf: DataFrame, avgdl: float):
+        self.tf, self.idf, self.avgdl = tf, idf, avgdl
 
     @classmethod
     def build(cls, chunks: DataFrame) -> Bm25:
-        """chunks (cid, text). One explode; term counts are combined before the shuffle and kept, since df and search both read them."""
-        toks = chunks.select("cid", tokens(F.col("text")).alias("t"))
-        dl = toks.select("cid", F.size("t").alias("dl"))
-        n, avgdl = dl.agg(F.count(F.lit(1)), F.avg("dl")).first()
-        tf = toks.select("cid", F.explode("t").alias("term")).groupBy("term", "cid").agg(F.count(F.lit(1)).alias("tf")).persist()
+        """chunks (cid, text). Texts are dealt by cid and tokenised once; counts, and later scores, need no further shuffle. The counts are kept, since df and search both read them."""
+        toks = chunks.select("cid", "text").repartition("cid").select("cid", tokens(F.col("text")).alias("t"))
+        tf = toks.select("cid", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("cid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+        n = chunks.count()
+        avgdl = (tf.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
         raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).first()[0] or 0.0
         idf = raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-        return cls(tf, dl, idf, avgdl or 1.0)
+        return cls(tf, idf, avgdl or 1.0)
 
     def write(self, path: str) -> None:
         """As Parquet, the postings sorted by term within files so that a term's row groups are skipped to."""
         self.tf.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/tf")
-        self.dl.write.mode("overwrite").parquet(f"{path}/dl")
         self.idf.withColumn("avgdl", F.lit(self.avgdl)).write.mode("overwrite").parquet(f"{path}/idf")
 
     @classmethod
     def read(cls, spark, path: str) -> Bm25:
         idf = spark.read.parquet(f"{path}/idf")
         first = idf.select("avgdl").first()
-        return cls(spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/dl"), idf.drop("avgdl"), first[0] if first else 1.0)
+        return cls(spark.read.parquet(f"{path}/tf"), idf.drop("avgdl"), first[0] if first else 1.0)
 
     def search(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """questions (qid, text) -> qid, cid, score, rk. A repeated question token counts each time; documents without any don't appear."""
         terms = questions.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
         weights = terms.join(self.idf, "term").withColumn("w", F.col("idf") * F.col("qn"))
-        hits = self.tf.join(checked_broadcast(weights.select("qid", "term", "w")), "term").join(self.dl, "cid")
+        hits = self.tf.join(checked_broadcast(weights.select("qid", "term", "w")), "term")
         part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / self.avgdl))
-        scores = hits.groupBy("qid", "cid").agg(F.sum(part).alias("score"))
+        scores = hits.groupBy("cid", "qid").agg(F.sum(part).alias("score"))
         return ranked(scores, ["qid"], [F.round("score", 9).desc(), F.col("cid")], k)
 
 

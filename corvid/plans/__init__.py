@@ -44,3 +44,11 @@ def variants(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, depth:
         rows = df.select(F.lit(name).alias("variant"), "qid", "cid", "rk")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def bypass(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, depth: int = 10, fused: int = 10, final: int = 6) -> DataFrame:
+    """questions (qid, text, qvec) -> qid, cid, rk: fused and reranked without routing, gate or exact provisions."""
+    dense = r.dense_search(questions.select("qid", "qvec"), vectors, depth)
+    sparse = r.Bm25.build(chunks.select("cid", "text")).search(questions.select("qid", "text"), depth)
+    best = r.fuse(dense, sparse, top_n=fused).join(questions.select("qid", F.col("text").alias("question")), "qid")
+    return r.rerank(best.join(chunks.select("cid", "text"), "cid"), final).select("qid", "cid", "rk")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid import plans, sources, streaming
 from corvid.functions import text as t
 from corvid.functions import vectors as v
-from corvid.operators import chat, hygiene, models, reports, retrieval, routing
+from corvid.operators import chat, hygiene, lineage, models, reports, retrieval, routing
 from corvid.operators import evaluation as e
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,12 +286,22 @@ def cosine_search(spark, sf_dir):
     return retrieval.search_uploaded(q.select("qid", "qvec"), c.select("cid", "vec")).select("qid", "cid", F.round("similarity", 6).alias("similarity"), F.col("rk").cast("long").alias("rk"))
 
 
-@query(f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({DUCK_DOT.format('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label <> b.label AND {DUCK_DOT.format('a.embedding', 'b.embedding')} > 0.3")
+DUCK_COSINE = f"{DUCK_DOT.format('a.embedding', 'b.embedding')} / (sqrt({DUCK_DOT.format('a.embedding', 'a.embedding')}) * sqrt({DUCK_DOT.format('b.embedding', 'b.embedding')}) + 1e-8)"
+CONFLICTS_NAMES, CONFLICTS = "id int, label int, x double, y double", [(1, 0, 1.0, 0.0), (2, 1, 3.0, 1.0), (3, 1, 0.0, 1.0), (4, 0, 2.0, 2.0), (5, 0, 9.0, 1.0), (6, 1, 1.0, 1.0)]
+
+
+@query(f"SELECT a.vec_id::BIGINT AS a_id, b.vec_id::BIGINT AS b_id, round({DUCK_COSINE}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id < b.vec_id AND a.label <> b.label AND {DUCK_COSINE} > 0.75 UNION ALL SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 0.948683), (2, 4, 0.894427), (2, 5, 0.977802), (4, 6, 1.0), (5, 6, 0.780869)) t(a, b, c)")
 def label_conflicts(spark, sf_dir):
+    """Over the stated questions, and over a few vectors whose conflicts are written down."""
     q, c = vector_tables(spark, sf_dir)
-    pairs = c.join(retrieval.checked_broadcast(q.select(F.col("qid").alias("a_id"), "qvec", F.col("label").alias("a_label"))), F.col("cid") != F.col("a_id")).withColumnsRenamed({"cid": "b_id", "label": "b_label"})
-    hits = hygiene.label_conflicts(pairs, v.dot(F.col("qvec"), F.col("vec")), 0.3)
-    return hits.select("a_id", "b_id", F.round(v.dot(F.col("qvec"), F.col("vec")), 6).alias("similarity"))
+    few = rows_of(spark, CONFLICTS_NAMES, CONFLICTS).select(F.col("id").cast("long").alias("cid"), F.array("x", "y").alias("vec"), "label")
+    out = None
+    for asked, all_ in ((q, c), (few.withColumnsRenamed({"cid": "qid", "vec": "qvec"}), few)):
+        pairs = all_.join(retrieval.checked_broadcast(asked.select(F.col("qid").alias("a_id"), "qvec", F.col("label").alias("a_label"))), F.col("a_id") < F.col("cid")).withColumnsRenamed({"cid": "b_id", "label": "b_label"})
+        cosine = v.cosine(F.col("qvec"), F.col("vec"))
+        rows = hygiene.label_conflicts(pairs, cosine).select("a_id", "b_id", F.round(cosine, 6).alias("similarity"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 DUCK_BM25 = f"""tok AS (SELECT doc_id, {DUCK_TOKENS.format('text')} AS k FROM documents), dl AS (SELECT doc_id, len(k) AS dl FROM tok), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
@@ -537,9 +547,8 @@ def upserted(spark, sf_dir):
 
 @query("SELECT doc_id, format('Q{:03d}_{}', rk, lang) AS qid FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rk FROM documents)")
 def numbered(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return read(spark, sf_dir, "documents").select("doc_id", F.format_string("Q%03d_%s", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")), "lang").alias("qid"))
+    rows = lineage.placed(read(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"])
+    return rows.select("doc_id", F.format_string("Q%03d_%s", F.col("place").cast("long"), "lang").alias("qid"))
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7' || doc_id)) AS rk FROM documents) WHERE rk <= 5")
@@ -762,3 +771,265 @@ def log_sessions(spark, sf_dir):
     rows = streaming.log_sessions(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return rows.select("user_id", ntz("session_start"), ntz("session_end"), "n")
+
+
+# Predicates and joins on written rows ----------------------------------------------------------
+
+EVIDENCE = [(1, "The  Commission shall\nmeet", "Under it the commission shall meet monthly.", "Article 21 says so", "see Article 21 says so, and section 3"), (2, "never said", "Something else", "Section 99 applies", "only section 9 here"), (3, "", "any", "no reference", "")]
+
+
+@query("SELECT * FROM (VALUES (1, true, true), (2, false, false), (3, true, true)) t(id, quoted, supported)")
+def evidence_checks(spark, sf_dir):
+    rows = rows_of(spark, "id int, quote string, passage string, answer string, evidence string", EVIDENCE)
+    return rows.select("id", t.evidence_in(F.col("quote"), F.col("passage")).alias("quoted"), t.references_supported(F.col("answer"), F.col("evidence")).alias("supported"))
+
+
+@query("SELECT * FROM (VALUES (1, 'What is it?', 'A law.'), (1, 'Who made it?', 'They did.' || chr(10) || 'Long ago.')) t(id, q, a)")
+def question_pairs(spark, sf_dir):
+    rows = rows_of(spark, "id int, text string", [(1, "Q: What is it?  A: A law.\nQ: Who made it?\nA: They did.\nLong ago.\n"), (2, "nothing of it")])
+    return rows.select("id", F.explode(t.qa_pairs(F.col("text"))).alias("p")).select("id", "p.q", "p.a")
+
+
+@query("SELECT * FROM (VALUES (1, 'What now?'), (2, 'No form at all'), (3, 'Two' || chr(10) || 'lines?')) t(id, question)")
+def prompt_questions(spark, sf_dir):
+    rows = rows_of(spark, "id int, text string", [(1, "Use this. QUESTION: What now?\nLegal evidence: none"), (2, "No form at all"), (3, "Question:\nTwo\nlines?\n\nLegal Evidence: x")])
+    return rows.select("id", t.prompt_question(F.col("text")).alias("question"))
+
+
+@query("SELECT source, bool_and(lang IN ('en', 'de', 'fr', 'es')) AS known, bool_and(lang IN ('en', 'de')) AS two FROM documents GROUP BY source")
+def label_subsets(spark, sf_dir):
+    per = read(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("s"))
+    within = lambda names: F.size(F.array_except("s", F.array(*map(F.lit, names)))) == 0
+    return per.select("source", within(["en", "de", "fr", "es"]).alias("known"), within(["en", "de"]).alias("two"))
+
+
+@query(f"{DUCK_NEAR}, x AS (SELECT CASE WHEN actual % 3 = 0 THEN 'in' ELSE 'out' END AS actual, CASE WHEN predicted % 3 = 0 THEN 'in' ELSE 'out' END AS predicted FROM p) SELECT actual, predicted, count(*) AS n FROM x GROUP BY ALL")
+def collapsed_classes(spark, sf_dir):
+    """Classes folded into two before they are counted."""
+    two = lambda c: F.when(F.col(c) % 3 == 0, "in").otherwise("out").alias(c)
+    return predicted(spark, sf_dir).select(two("actual"), two("predicted")).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{DUCK_GOLD} SELECT qid, expected FROM r WHERE rank IS NULL OR rank > 3")
+def missed_rows(spark, sf_dir):
+    return e.ranking_rows(*judged(spark, sf_dir)).where("not hit3").select("qid", "expected")
+
+
+@query(f"{DUCK_GOLD}, b AS (SELECT CASE WHEN rank = 1 THEN '1' WHEN rank BETWEEN 2 AND 3 THEN '2-3' WHEN rank BETWEEN 4 AND 5 THEN '4-5' ELSE 'miss' END AS band FROM r) SELECT band, count(*) AS n FROM b GROUP BY band")
+def rank_bands(spark, sf_dir):
+    return e.ranking_rows(*judged(spark, sf_dir)).groupBy(e.rank_band(F.col("rank")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH p AS (SELECT 'doc_' || (row_number() OVER (ORDER BY doc_id) - 1) AS id, md5(text) AS digest FROM documents) SELECT item_id, p.id, digest FROM benchmark JOIN p ON p.id = 'doc_' || (item_id * 3)")
+def passage_by_id(spark, sf_dir):
+    ids = lineage.placed(read(spark, sf_dir, "documents").select("doc_id", "text"), [], ["doc_id"]).select(F.concat(F.lit("doc_"), F.col("place") - 1).alias("id"), F.md5("text").alias("digest"))
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("doc_"), F.col("item_id") * 3).alias("id"))
+    return asked.join(ids, "id").select("item_id", "id", "digest")
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_sort(list_distinct({DUCK_WORDS.replace('text', 'lower(text)')})) AS w FROM documents), p AS (SELECT b.id, list(a.id) AS earlier FROM w a JOIN w b ON a.id < b.id AND len(a.w) > 0 AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w)) WHERE len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.92 GROUP BY b.id),
+ o AS (SELECT id, earlier, row_number() OVER (ORDER BY id) AS n FROM p), r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT o.n, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM r JOIN o ON o.n = r.n + 1)
+ SELECT doc_id AS id, NOT list_contains((SELECT gone FROM r ORDER BY n DESC LIMIT 1), doc_id) AS accepted FROM documents""")
+def near_duplicates_rejected(spark, sf_dir):
+    return hygiene.reject_near_duplicates(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "accepted")
+
+
+@query("SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM documents), 1000)) t(rule, found, want)".replace("SELECT *", "SELECT rule, found, found = want AS ok") + """ UNION ALL SELECT 'unknown types', count(*), count(*) = 0 FROM documents WHERE source NOT IN ('src0', 'src1') UNION ALL SELECT 'repeated ids', count(*) - count(DISTINCT doc_id), count(*) = count(DISTINCT doc_id) FROM documents
+ UNION ALL SELECT 'repeated questions', count(*) - count(DISTINCT """ + DUCK_KEY + "), count(*) = count(DISTINCT " + DUCK_KEY + """) FROM documents UNION ALL SELECT 'label en', count(*), count(*) = 250 FROM documents WHERE lang = 'en' UNION ALL SELECT 'label de', count(*), count(*) = 250 FROM documents WHERE lang = 'de'""")
+def dataset_validation(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"), F.col("source").alias("type"))
+    return hygiene.validation(rows, 1000, {"en": 250, "de": 250}, ["src0", "src1"])
+
+
+@query("SELECT doc_id AS question_id, quality::BIGINT AS answer FROM labels UNION ALL SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resumed_evaluation(spark, sf_dir):
+    """Questions that come twice, some of them evaluated before: each is evaluated once."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "n_chars")
+    done = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("long").alias("answer"))
+    return hygiene.resumed(docs.unionByName(docs), done, lambda q: q.select("question_id", F.col("n_chars").alias("answer")))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'ERROR' WHEN lang = 'de' THEN 'MISS' ELSE 'OK' END AS status, CASE WHEN lang NOT IN ('fr', 'de') THEN upper(lang) END AS answer, CASE WHEN lang = 'fr' THEN 'ValueError: no model for fr' END AS error FROM documents")
+def evaluated_status(spark, sf_dir):
+    def load():
+        def model(lang):
+            if lang == "fr":
+                raise ValueError(f"no model for {lang}")
+            return None if lang == "de" else lang.upper()
+
+        return models.with_retries(model, 2, 0.0)
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", models.isolated(load, F.col("lang"), "string").alias("r"))
+    return rows.select("doc_id", models.status(F.col("r")).alias("status"), F.col("r.value").alias("answer"), "r.error")
+
+
+@query(f"WITH {DUCK_QDENSE}, {DUCK_BM25}, {DUCK_RRF.replace('rk <= 8', 'rk <= 10')}, {DUCK_RERANK.replace('rk <= 4', 'rk <= 6')} SELECT qid, cid, rk FROM rr")
+def bypass_retrieval(spark, sf_dir):
+    return plans.bypass(*hybrid_tables(spark, sf_dir)).select("qid", "cid", F.col("rk").cast("long").alias("rk"))
+
+
+@query(f"""WITH {DUCK_QDENSE}, {DUCK_BM25}, {DUCK_RRF}, {DUCK_RERANK}, g AS (SELECT qid, min(d) AS m FROM qd GROUP BY qid)
+ SELECT b.item_id AS qid, CASE WHEN m <= 1.35 THEN md5(d.text) END AS digest FROM benchmark b JOIN g ON g.qid = b.item_id LEFT JOIN rr ON rr.qid = b.item_id AND m <= 1.35 AND rr.rk = 1 LEFT JOIN documents d ON d.doc_id = rr.cid""")
+def top_context(spark, sf_dir):
+    """Retrieval for prompts of one context."""
+    return plans.retrieve(*hybrid_tables(spark, sf_dir), final=1).select("qid", F.md5("text").alias("digest"))
+
+
+@query("SELECT * FROM (VALUES (11, 'yes'), (12, 'no'), (13, NULL), (14, 'yes'), (15, NULL), (16, NULL)) t(id, decision)")
+def review_decisions(spark, sf_dir):
+    queue = rows_of(spark, "id int, place int", [(10 + i, i) for i in range(1, 7)])
+    return reports.reviewed(queue, rows_of(spark, "no int, key string", [(1, "y"), (2, " N "), (3, "s"), (4, "Y"), (5, "q"), (6, "y")]))
+
+
+# Sources and sinks -----------------------------------------------------------------------------
+
+
+def lines(spark: SparkSession, path: str, rows: list[str]) -> str:
+    spark.createDataFrame([("\n".join(rows),)], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+RECORDS = ['{"id": 1, "question": "What?", "label": "easy"}', "", "{broken", '{"id": 2, "question": " ", "label": "hard"}', '{"id": 3, "question": "Why?", "label": "odd"}', '{"id": 4, "question": "Who?", "label": "hard"}']
+
+
+@query("SELECT item_id, text FROM benchmark")
+def jsonl_round_trip(spark, sf_dir):
+    path = lineage.scratch(spark, "jsonl")
+    sources.write_jsonl(read(spark, sf_dir, "benchmark"), path)
+    return sources.jsonl(spark, path, "item_id long, text string", "fail")
+
+
+@query("SELECT * FROM (VALUES (1, 'What?'), (2, ' '), (3, 'Why?'), (4, 'Who?')) t(id, question)")
+def jsonl_dropped(spark, sf_dir):
+    return sources.jsonl(spark, lines(spark, lineage.scratch(spark, "jsonl"), RECORDS), "id int, question string")
+
+
+@query("SELECT 1 AS bad, '{broken' AS raw, 4 AS good")
+def jsonl_audited(spark, sf_dir):
+    rows = lineage.cut(sources.jsonl(spark, lines(spark, lineage.scratch(spark, "jsonl"), RECORDS), "id int, question string", "audit"))
+    return rows.agg(F.count(sources.CORRUPT).cast("int").alias("bad"), F.max(sources.CORRUPT).alias("raw"), F.count("id").cast("int").alias("good"))
+
+
+@query("SELECT * FROM (VALUES (3, 'not JSON'), (4, 'lacks question'), (5, 'unknown label')) t(line, reason)")
+def jsonl_bad_lines(spark, sf_dir):
+    path = lines(spark, lineage.scratch(spark, "jsonl"), RECORDS)
+    return sources.bad_lines(spark, path, ["id", "question"], "label", ["easy", "hard"]).select("line", "reason")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+def csv_round_trip(spark, sf_dir):
+    path = lineage.scratch(spark, "csv")
+    docs = read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    sources.write_csv(docs.select("doc_id", "text", "lang"), path)
+    return sources.csv(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
+@query("SELECT * FROM (VALUES ('What?'), ('Who?')) t(question)")
+def csv_discovered(spark, sf_dir):
+    """A byte order mark, and the question under one of several names."""
+    rows = sources.csv(spark, lines(spark, lineage.scratch(spark, "csv"), ["\ufeffno,Question,answer", "1,What?,x", '2,Who?,"y, z"']))
+    return rows.select(sources.first_of(rows, ["question", "text", "Question"]).alias("question"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) t(id, name)")
+def json_array(spark, sf_dir):
+    return sources.json_document(spark, lines(spark, lineage.scratch(spark, "json"), ["[", '  {"id": 1, "name": "a"},', '  {"id": 2, "name": "b"}', "]"]), "id int, name string")
+
+
+@query("SELECT * FROM (VALUES ('law', 'a.png,b.png'), ('tax', '')) t(key, names)")
+def json_mapping(spark, sf_dir):
+    rows = sources.json_map(spark, lines(spark, lineage.scratch(spark, "json"), ['{"law": ["a.png", "b.png"],', ' "tax": []}']), "array<string>")
+    return rows.select("key", F.array_join("value", ",").alias("names"))
+
+
+@query("SELECT * FROM (VALUES ('one?', '.txt'), ('two?', '.txt')) t(question, suffix)".replace("'.txt'", "'.jsonl'", 1).replace("'.txt'", "'.csv'"))
+def recursive_scan(spark, sf_dir):
+    """Questions of JSON lines and CSV below a folder, without the excluded part."""
+    top = lineage.scratch(spark, "scan")
+    for folder, suffix, text in (("a", ".jsonl", ['{"question": "one?"}']), ("b/c", ".csv", ["question", "two?"]), ("skip/d", ".csv", ["question", "three?"])):
+        renamed(spark, lines(spark, f"{top}/{folder}", text), suffix)
+    rows = sources.recursive(spark, top, "/skip/")
+    return rows.select("question", F.regexp_extract("file", "([.][a-z]+)$", 1).alias("suffix"))
+
+
+def renamed(spark: SparkSession, folder: str, suffix: str) -> None:
+    """The text files of a folder under another suffix."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.listStatus(at(folder)):
+        name = x.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(x.getPath(), at(f"{folder}/{name[:-4]}{suffix}"))
+
+
+@query("SELECT * FROM (VALUES ('law', 2, 14), ('tax', 1, 3)) t(category, n, bytes)")
+def image_folders(spark, sf_dir):
+    top = lineage.scratch(spark, "images")
+    for category, texts in (("law", ["abcdef", "ghijkl"]), ("tax", ["mn"])):
+        for x in texts:
+            lines(spark, f"{top}/{category}", [x])
+        renamed(spark, f"{top}/{category}", ".png")
+    files = sources.images(spark, top)
+    return sources.manifest(files).select("category", F.size("paths").alias("n")).join(files.groupBy("category").agg(F.sum("length").cast("int").alias("bytes")), "category")
+
+
+@query("SELECT conv_id, turn AS page, text FROM conversations WHERE trim(text) <> '' AND conv_id < 5")
+def paged_documents(spark, sf_dir):
+    """Binary documents of several pages; form feeds stand for an extractor."""
+    some = read(spark, sf_dir, "conversations").where("conv_id < 5")
+    top = lineage.scratch(spark, "pages")
+    whole = sources.whole_documents(some.withColumn("line", F.coalesce("text", F.lit(""))), ["conv_id"], "turn", "line", "\f")
+    whole.select(F.concat_ws("\f", F.col("conv_id").cast("string"), "text").alias("value")).repartition(5).write.option("lineSep", "\f").text(top)
+    rows = sources.paged(spark, top, lambda b: b.decode().split("\f"), ".txt")
+    first = rows.groupBy("source").agg(F.min_by("text", "page").alias("conv_id"))
+    return rows.where("page > 1").join(first, "source").select(F.col("conv_id").cast("long").alias("conv_id"), (F.col("page") - 2).cast("long").alias("page"), "text")
+
+
+@query("SELECT 'fallback' AS read, 3 AS n UNION ALL SELECT 'there', 5")
+def fallback_source(spark, sf_dir):
+    path = lineage.scratch(spark, "there")
+    spark.range(5).write.parquet(path)
+    count = lambda name, p: sources.or_else(spark, p, spark.read.parquet, lambda: spark.range(3)).agg(F.lit(name).alias("read"), F.count(F.lit(1)).cast("int").alias("n"))
+    return count("fallback", f"{path}-none").unionByName(count("there", path))
+
+
+@query("SELECT 'new' AS state, 4 AS n UNION ALL SELECT 'backup', 7 UNION ALL SELECT 'refused', 1")
+def replaced_table(spark, sf_dir):
+    """A folder that is written once, replaced in one step with its old state kept, and not written over."""
+    path = lineage.scratch(spark, "table")
+    sources.write_new(spark.range(7), path)
+    old = sources.replace(spark.range(4), path, backup=True)
+    try:
+        sources.write_new(spark.range(1), path)
+        refused = 0
+    except Exception as error:
+        refused = int("exist" in str(error).lower())
+    count = lambda p: spark.read.parquet(p).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return count(path).select(F.lit("new").alias("state"), "n").unionByName(count(old).select(F.lit("backup").alias("state"), "n")).unionByName(rows_of(spark, "state string, n int", [("refused", refused)]))
+
+
+@query("SELECT '# ' || upper(r_name) || ' (' || count(*) || ')' AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def text_report(spark, sf_dir):
+    per = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+    path = lineage.scratch(spark, "report")
+    sources.write_lines(per, path, F.concat(F.lit("# "), F.upper("r_name"), F.lit(" ("), "n", F.lit(")")))
+    return spark.read.text(path)
+
+
+@query("SELECT * FROM (VALUES (0.5, 10), (0.75, 20)) t(accuracy, n)")
+def metric_files(spark, sf_dir):
+    top = lineage.scratch(spark, "metrics")
+    for i, text in enumerate(['{"accuracy": 0.5, "n": 10}', "not JSON", '{"accuracy": 0.75,\n "n": 20}']):
+        lines(spark, f"{top}/run{i}", [text])
+    return sources.metrics(spark, f"{top}/run*", "accuracy double, n int").select("accuracy", "n")
+
+
+@query(f"WITH {DUCK_BM25} SELECT qid, cid, rk FROM bm25 WHERE rk <= 3")
+def bm25_index(spark, sf_dir):
+    """The index written, over an older one, and read again."""
+    path = lineage.scratch(spark, "bm25")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), "text")
+    retrieval.Bm25.build(docs.limit(10)).write(path)
+    retrieval.Bm25.build(docs).write(path)
+    hits = retrieval.Bm25.read(spark, path).search(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), 3)
+    return hits.select("qid", "cid", F.col("rk").cast("long").alias("rk"))

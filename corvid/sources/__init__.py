@@ -45,6 +45,26 @@ def jsonl(spark: SparkSession, path: str, schema: str, mode: str = "drop") -> Da
     return spark.read.schema(schema).option("mode", {"drop": "DROPMALFORMED", "fail": "FAILFAST"}[mode]).json(path)
 
 
+def bad_lines(spark: SparkSession, path: str, required: Sequence[str], label: str, labels: Sequence[str]) -> DataFrame:
+    """file, line (from 1), reason of the lines of JSON that don't parse, lack a required field or have another label. Files are small: one is split by one task."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "raw")).where(F.trim("raw") != "")
+    got = F.from_json("raw", "map<string, string>")
+    rows = rows.withColumn("got", F.when(F.try_parse_json("raw").isNotNull(), got))
+    lacks = F.array_join(F.filter(F.array(*map(F.lit, required)), lambda k: F.trim(F.coalesce(F.get(F.filter(F.map_entries("got"), lambda x: x["key"] == k), F.lit(0))["value"], F.lit(""))) == ""), ", ")
+    known = F.coalesce(F.element_at("got", label).isin(*labels), F.lit(False))
+    reason = F.when(F.col("got").isNull(), "not JSON").when(lacks != "", F.concat(F.lit("lacks "), lacks)).when(~known, "unknown label")
+    return rows.select("file", (F.col("at") + 1).alias("line"), reason.alias("reason")).where("reason is not null")
+
+
+def jsonl_checked(spark: SparkSession, path: str, schema: str, required: Sequence[str], label: str, labels: Sequence[str]) -> DataFrame:
+    """The records, or an error that names the first bad line."""
+    first = bad_lines(spark, path, required, label, labels).orderBy("file", "line").first()
+    if first:
+        raise ValueError(f"{first['file']}, line {first['line']}: {first['reason']}")
+    return jsonl(spark, path, schema, "fail")
+
+
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header, quoted line breaks and, if any, a byte order mark; all strings without a schema."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path, schema=schema)
@@ -56,9 +76,16 @@ def json_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return spark.read.option("multiLine", True).json(path, schema=schema)
 
 
+def metrics(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """file and the fields of all JSON documents that a glob finds; unreadable ones are left out."""
+    raw = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path, wholetext=True)
+    raw = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value").where(F.try_parse_json("value").isNotNull())
+    return raw.select("file", F.from_json("value", fields).alias("m")).select("file", "m.*")
+
+
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """key, value of a file that is one JSON object; value: the type of its values."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"map<string, {value}>")))
 
 

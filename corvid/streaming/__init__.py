@@ -43,19 +43,43 @@ def run_available(df: DataFrame, batch: Callable[[DataFrame, int], None], checkp
     query.awaitTermination()
 
 
-def resumable(questions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Evaluates a stream of questions into a folder. A batch writes a folder of its own number, so a repeated batch replaces itself."""
-    run_available(questions, lambda df, n: evaluate(df).write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
+def resumable(questions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str) -> None:
+    """Evaluates a stream of questions into a folder, each key once, whichever file or batch it comes in again.
 
+    A batch writes a folder of its own number, so a repeated batch replaces itself.
+    """
+    spark = questions.sparkSession
 
-def upserting(changes: DataFrame, key: str, at: str, checkpoint: str) -> None:
-    """Keeps a table by key: each batch writes the next version, and the newest version is the table."""
+    def one(df: DataFrame, n: int) -> None:
+        new = df.dropDuplicates([key])
+        before = [f"{out}/batch={i}" for i in range(n) if there(spark, f"{out}/batch={i}/_SUCCESS")]
+        if before:
+            new = new.join(spark.read.parquet(*before).select(key).distinct(), key, "left_anti")
+        evaluate(new).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    run_available(questions, one, checkpoint)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def upserting(changes: DataFrame, key: str, at: str, checkpoint: str, order: str | None = None) -> None:
+    """Keeps a table by key: each batch writes the next version, and the newest version is the table; the one before stays, older ones go.
+
+    Of a key's rows in a batch the last in `order` wins; without it, the greatest row, column by column.
+    """
     spark = changes.sparkSession
 
     def one(df: DataFrame, n: int) -> None:
-        new = df.dropDuplicates([key])
+        rest = [c for c in df.columns if c != key]
+        last = F.max_by(F.struct(*rest), F.struct(order, *rest) if order else F.struct(*rest))
+        new = df.groupBy(key).agg(last.alias("__row")).select(key, "__row.*").select(*df.columns)
         old = spark.read.parquet(f"{at}/version={n - 1}") if n else new.limit(0)
         upserted(old, new, key).write.mode("overwrite").parquet(f"{at}/version={n}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/version={n - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     run_available(changes, one, checkpoint)
 

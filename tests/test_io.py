@@ -83,7 +83,7 @@ def test_resumed_evaluation_does_each_question_once(spark, tmp_path):
     for lo in (0, 10):
         spark.range(lo, lo + 10).write.mode("append").parquet(src)
         stream = spark.readStream.schema("id long").parquet(src)
-        streaming.resumable(stream, lambda df: df.withColumn("answer", F.col("id") * 2), out, ck)
+        streaming.resumable(stream, lambda df: df.withColumn("answer", F.col("id") * 2), out, ck, "id")
     got = spark.read.parquet(out).collect()
     assert sorted(r.id for r in got) == list(range(20)) and all(r.answer == 2 * r.id for r in got)
 
