@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import decontamination, language_id, mixing, sharding, simhash
-from corvid.llm.common import shared_dir, table
+from corvid.llm.common import delete, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage's result is written and read again; a folder goes when the next stage is done with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, path = stage(spark, docs, sf_dir), None
         if i < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)  # the last stage has stored its own rows
+        before = path
     return docs
