@@ -33,6 +33,7 @@ part in links; a group without any doc_id has a null component_id. Empty table:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,12 +43,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, cut, maybe_broadcast, small_batches, unit_hash
+from .common import columns_of, components, cut, delete, maybe_broadcast, shared_dir, small_batches, unit_hash
 
 RADIUS, CELL = 2, 5
 #: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes only join most copies
 #: early; apart() finds the rest, and spreads a shingle of over LARGE texts over parts that each meet all of these.
-SIMILARITY, BANDS, ROWS, LARGE = 0.8, 20, 4, 4096
+SIMILARITY, BANDS, ROWS, EARLY_RADIUS, LARGE = 0.8, 20, 4, 20, 4096
 #: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
 SAMPLE, FREQUENT = 10_000, 100_000
 _RNG = np.random.default_rng(9)
@@ -229,9 +230,13 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """rows (key, band, bk) -> distinct pairs of each text and the least one of each of its buckets."""
-    centre = rows.groupBy("band", "bk").agg(F.min("key").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(centre, ["band", "bk"]).where("key <> c").select(F.col("c").alias("a"), F.col("key").alias("b")).distinct()
+    """rows (key, fp, n, band, bk) -> distinct pairs of each text and the least one of each of its buckets, if their sizes and fingerprints are near.
+
+    Pairs whose fingerprints are further apart are left to apart().
+    """
+    centre = rows.groupBy("band", "bk").agg(F.min(F.struct("key", "fp", "n")).alias("c"), F.count(F.lit(1)).alias("all")).where("all > 1")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= EARLY_RADIUS) & (F.least("n", "c.n") >= SIMILARITY * F.greatest("n", "c.n"))
+    return rows.join(centre, ["band", "bk"]).where((F.col("key") != F.col("c.key")) & near).select(F.col("c.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def apart(rows: DataFrame, similarity: float) -> DataFrame:
@@ -274,10 +279,14 @@ def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: flo
             yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
 
     own = on_handle(docs.select(*handle(), "text"), maybe_broadcast(nodes, nodes.count()))
-    sets = cut(own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
+    path = f"{shared_dir(docs.sparkSession)}/shingles-{uuid.uuid4().hex}"
+    own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]).write.option("parquet.enable.dictionary", False).parquet(path)
+    sets = docs.sparkSession.read.schema("key long, s array<long>").parquet(path)
     side = lambda k: sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return cut(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+    out = cut(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+    delete(docs.sparkSession, path)
+    return out
 
 
 def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -306,7 +315,7 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
     alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    early = alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
+    early = alike.unionByName(near).unionByName(stars(texts.select("key", "fp", "n", F.posexplode("bands").alias("band", "bk"))))
     roots = cut(components(similar(docs, texts, early, similarity)))
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))

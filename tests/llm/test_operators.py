@@ -835,7 +835,7 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.group_id for r in simhash.copies(docs).collect()} == {0}
-    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", F.posexplode("s.bands").alias("band", "bk"))
+    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", "s.fp", "s.n", F.posexplode("s.bands").alias("band", "bk"))
     assert simhash.stars(rows).count() <= 2000 * simhash.BANDS
 
 
