@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -49,6 +50,28 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the JVM collect its garbage, upon which Spark deletes shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sieve(df: DataFrame, name: str, rows: int, bits_a_row: int, most: int) -> tuple[Column, int]:
+    """A bitmap of the rows' hashes (long) in a column as an array literal of numbers of 64 bits, and its bits: a power of two, `most` at most."""
+    bits = min(max(1 << 12, 1 << (bits_a_row * rows).bit_length()), most)
+    slot = F.col(name).bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = df.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    found = {r["i"]: r["b"] for r in words.collect()}  # at most `most` / 64 rows
+    listed = ",".join(str(found.get(i, 0)) for i in range(bits // 64))
+    return F.expr(f"cast(split('{listed}', ',') as array<bigint>)"), bits  # one constant to the plan
+
+
+def passes(hash_: Column, words: Column, bits: int) -> Column:
+    """Whether a hash may be among those of the sieve: true for all that are."""
+    bit = hash_.bitwiseAND(F.lit(bits - 1).cast("long"))
+    return F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores at its end until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, maybe_broadcast
+from .common import cut, let, maybe_broadcast, passes, sieve
 
 WINDOW, LITERALS, SIMILARITY = 5, 2, 0.8
 SIEVE_BITS, SIEVE_MOST = 32, 1 << 22
@@ -50,7 +50,7 @@ def marked(text: Column, names: bool = True) -> Column:
     return F.filter(F.split(out, " "), lambda t: t != "")
 
 
-def spots(text: Column, sieve: tuple[Column, int] | None, sieve_lengths: list[int] | None) -> Column:
+def spots(text: Column, bitmap: tuple[Column, int] | None, sieve_lengths: list[int] | None) -> Column:
     """Array of struct(n, pos, hash, form, length, own): the windows of a text that pass the sieve, own their tokens.
 
     Forms: "typed" hashes placeholders by type; "plain" names as words; "value" all placeholders by
@@ -58,11 +58,6 @@ def spots(text: Column, sieve: tuple[Column, int] | None, sieve_lengths: list[in
     WINDOW have one window; documents also have those of sieve_lengths.
     """
 
-    def passes(hash_: Column) -> Column:
-        words, bits = sieve
-        bit = hash_.bitwiseAND(F.lit(bits - 1).cast("long"))
-        return F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
-
     def at(m: Column, length: int) -> Column:
         """The places of windows of a length; those shorter than WINDOW are an item's only one."""
         here = F.size(m) == length if sieve_lengths is None and length < WINDOW else F.size(m) >= length
@@ -79,7 +74,7 @@ def spots(text: Column, sieve: tuple[Column, int] | None, sieve_lengths: list[in
             parts.append(F.transform(F.filter(at(m, length), lambda i: (held(i) % 16 > 0) & ~few(i)), lambda i: one(i, over(plain, i), "plain")))  # noqa: B023
             parts.append(F.transform(F.filter(at(m, length), lambda i: few(i)), lambda i: one(i, over(value, i), "value")))  # noqa: B023
         some = F.concat(*parts)
-        some = some if sieve is None else F.filter(some, lambda w: passes(w["hash"]))
+        some = some if bitmap is None else F.filter(some, lambda w: passes(w["hash"], *bitmap))
         return F.transform(some, lambda w: F.struct(F.size(m).alias("n"), w["pos"].alias("pos"), w["hash"].alias("hash"), w["form"].alias("form"), w["length"].alias("length"), F.slice(m, w["pos"] + 1, w["length"]).alias("own")))
 
     is_slot = lambda t: F.substring(t, 2, 1) == MARK
@@ -91,9 +86,9 @@ def spots(text: Column, sieve: tuple[Column, int] | None, sieve_lengths: list[in
     return let(marked(text), lambda m: let(F.struct(typed(m).alias("h"), plain(m).alias("p"), value(m).alias("v"), kind(m).alias("k")), lambda x: all_of(m, x["h"], x["p"], x["v"], x["k"])))
 
 
-def window_rows(rows: DataFrame, key: str, text: Column, sieve: tuple[Column, int] | None = None, sieve_lengths: list[int] | None = None) -> DataFrame:
+def window_rows(rows: DataFrame, key: str, text: Column, bitmap: tuple[Column, int] | None = None, sieve_lengths: list[int] | None = None) -> DataFrame:
     """key, n (tokens), pos, hash, slots (the values of the window's placeholders by their place)."""
-    out = rows.select(key, F.explode(spots(text, sieve, sieve_lengths)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.form", "x.length", "x.own")
+    out = rows.select(key, F.explode(spots(text, bitmap, sieve_lengths)).alias("x")).select(key, "x.n", "x.pos", "x.hash", "x.form", "x.length", "x.own")
     slot = lambda t: F.when((F.substring(t, 2, 1) == MARK) & ((F.col("form") == "typed") | (F.substring(t, 1, 1) != "@")), F.substring(t, 3, 1 << 30))
     out = out.withColumn("slots", F.transform("own", slot))
     whole = (F.col("length") < WINDOW) & (F.col("n") == F.col("length"))
@@ -101,13 +96,7 @@ def window_rows(rows: DataFrame, key: str, text: Column, sieve: tuple[Column, in
 
 
 def sieve_of(bench: DataFrame, rows: int) -> tuple[Column, int]:
-    """The bitmap as an array literal of numbers of 64 bits, and its bits: a power of two."""
-    bits = min(max(1 << 12, 1 << (SIEVE_BITS * rows).bit_length()), SIEVE_MOST)
-    slot = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long"))
-    words = bench.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-    found = {r["i"]: r["b"] for r in words.collect()}  # at most SIEVE_MOST / 64 rows
-    listed = ",".join(str(found.get(i, 0)) for i in range(bits // 64))
-    return F.expr(f"cast(split('{listed}', ',') as array<bigint>)"), bits  # one constant to the plan
+    return sieve(bench, "hash", rows, SIEVE_BITS, SIEVE_MOST)
 
 
 def named(docs: DataFrame) -> DataFrame:

@@ -43,12 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, cut, delete, maybe_broadcast, shared_dir, small_batches, unit_hash
+from .common import columns_of, components, cut, delete, maybe_broadcast, passes, release, shared_dir, sieve, small_batches, unit_hash
 
 RADIUS, CELL = 2, 5
 #: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes only join most copies
 #: early; apart() finds the rest, and spreads a shingle of over LARGE texts over parts that each meet all of these.
 SIMILARITY, BANDS, ROWS, EARLY_RADIUS, LARGE = 0.8, 20, 4, 20, 4096
+#: Bits for each shingle of several groups, and bits at most (2 MB), of the bitmap that saves dealing out the others.
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 24
 #: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
 SAMPLE, FREQUENT = 10_000, 100_000
 _RNG = np.random.default_rng(9)
@@ -248,7 +250,10 @@ def apart(rows: DataFrame, similarity: float) -> DataFrame:
     """
     own = rows.select("key", "root", "n", F.posexplode("prefix").alias("i", "s"))
     mixed = cut(own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("s", F.ceil(F.col("c") / LARGE).cast("int").alias("parts")))
-    met = cut(own.join(maybe_broadcast(mixed, mixed.count()), "s"))
+    release(rows.sparkSession)
+    n = mixed.count()
+    some = sieve(mixed, "s", n, SIEVE_BITS, SIEVE_MOST)  # most shingles stand in one text: they needn't be dealt out again
+    met = cut(own.where(passes(F.col("s"), *some)).join(maybe_broadcast(mixed, n), "s"))
     a = met.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("a")
     b = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
@@ -316,7 +321,9 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     early = alike.unionByName(near).unionByName(stars(texts.select("key", "fp", "n", F.posexplode("bands").alias("band", "bk"))))
+    release(docs.sparkSession)
     roots = cut(components(similar(docs, texts, early, similarity)))
+    release(docs.sparkSession)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
     return rooted(marked.select("doc_id", "text_hash", "key")).select("doc_id", "text_hash", "root")
