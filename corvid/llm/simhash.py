@@ -48,7 +48,9 @@ from .common import columns_of, components, cut, delete, maybe_broadcast, passes
 RADIUS, CELL = 2, 5
 #: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes only join most copies
 #: early; apart() finds the rest, and spreads a shingle of over LARGE texts over parts that each meet all of these.
-SIMILARITY, BANDS, ROWS, EARLY_RADIUS, LARGE = 0.8, 20, 4, 20, 4096
+SIMILARITY, BANDS, ROWS, LARGE = 0.8, 20, 4, 4096
+#: Bits of a set's odd sketch: bit i is 1 if an odd number of its hashes falls on i.
+ODD = 2048
 #: Bits for each shingle of several groups, and bits at most (2 MB), of the bitmap that saves dealing out the others.
 SIEVE_BITS, SIEVE_MOST = 16, 1 << 24
 #: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
@@ -187,15 +189,20 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
     return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
 
 
+def odd_sketch(hashes: np.ndarray) -> list[int]:
+    at = (hashes >> np.uint64(20)).astype(np.int64) & (ODD - 1)
+    return np.packbits(np.bincount(at, minlength=ODD) & 1).view(np.int64).tolist()
+
+
 NONE = np.array([], np.uint64), np.array([], np.int64)
 
 
-def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> tuple[int, int, list[int], int, list[int]]:
-    """The fingerprint of 3-word shingles, a hash of the words, BANDS keys of ROWS minimum hashes each, and the number and the prefix of the distinct 5-word shingles."""
+def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> tuple[int, int, list[int], int, list[int], list[int]]:
+    """The fingerprint of 3-word shingles, a hash of the words, BANDS keys of ROWS minimum hashes each, and the number, the prefix and the odd sketch of the distinct 5-word shingles."""
     words = words_of(text)
     key, hashes = text_key(words), np.unique(shingle_hashes(words, 5))  # the similarity is of sets, so a repeat counts once
     if not words:
-        return 0, key, [], 0, []
+        return 0, key, [], 0, [], [0] * (ODD // 64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1 << 12):
         least = np.minimum(least, (hashes[at : at + (1 << 12), None] * FACTORS[None, :] + SHIFTS[None, :]).min(axis=0))
@@ -203,14 +210,14 @@ def sketch(text: str | None, frequent: tuple[np.ndarray, np.ndarray] = NONE, sim
     for part in least.reshape(BANDS, ROWS).T:
         bands = (bands ^ part) * np.uint64(0x9E3779B97F4A7C15)
         bands ^= bands >> np.uint64(29)
-    return majority(shingle_hashes(words, 3)), key, bands.view(np.int64).tolist(), len(hashes), prefix(hashes, frequent, similarity).view(np.int64).tolist()
+    return majority(shingle_hashes(words, 3)), key, bands.view(np.int64).tolist(), len(hashes), prefix(hashes, frequent, similarity).view(np.int64).tolist(), odd_sketch(hashes)
 
 
 def sketches(text: Column, frequent: tuple[np.ndarray, np.ndarray] = NONE, similarity: float = SIMILARITY) -> Column:
-    @F.pandas_udf("fp long, key long, bands array<long>, n int, prefix array<long>")
+    @F.pandas_udf("fp long, key long, bands array<long>, n int, prefix array<long>, odd array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([sketch(t, frequent, similarity) for t in s], columns=["fp", "key", "bands", "n", "prefix"])
+            yield pd.DataFrame([sketch(t, frequent, similarity) for t in s], columns=["fp", "key", "bands", "n", "prefix", "odd"])
 
     return of(text)
 
@@ -232,13 +239,22 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """rows (key, fp, n, band, bk) -> distinct pairs of each text and the least one of each of its buckets, if their sizes and fingerprints are near.
+    """rows (key, band, bk) -> distinct pairs of each text and the least one of each of its buckets."""
+    centre = rows.groupBy("band", "bk").agg(F.min("key").alias("c"), F.count(F.lit(1)).alias("all")).where("all > 1")
+    return rows.join(centre, ["band", "bk"]).where("key <> c").select(F.col("c").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts (key, n, odd) that may have the similarity; it loses none that has it.
 
-    Pairs whose fingerprints are further apart are left to apart().
+    Of two sets of n_a and n_b elements and a similarity of t, at most (1 - t) / (1 + t) * (n_a + n_b) are in one alone.
+    Each of these changes one bit between the sets' odd sketches, and elements in both change none.
     """
-    centre = rows.groupBy("band", "bk").agg(F.min(F.struct("key", "fp", "n")).alias("c"), F.count(F.lit(1)).alias("all")).where("all > 1")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= EARLY_RADIUS) & (F.least("n", "c.n") >= SIMILARITY * F.greatest("n", "c.n"))
-    return rows.join(centre, ["band", "bk"]).where((F.col("key") != F.col("c.key")) & near).select(F.col("c.key").alias("a"), F.col("key").alias("b")).distinct()
+    side = lambda k: texts.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb"))
+    return both.where((differ <= most + 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)).select("a", "b")
 
 
 def apart(rows: DataFrame, similarity: float) -> DataFrame:
@@ -275,7 +291,7 @@ def on_handle(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts (key, doc_id, text_hash) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(plausible(pairs, texts, similarity))
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "text_hash"), "key"))
 
     @F.pandas_udf("array<long>")
@@ -315,12 +331,12 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     small_batches(docs)
     marked = cut(docs.select(*handle(), sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).select("doc_id", "text_hash", "s.*"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
-    texts = cut(marked.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("fp", "bands", "n", "prefix")]).select("key", "own.doc_id", "own.text_hash", "fp", "bands", "n", "prefix"))
+    texts = cut(marked.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("fp", "bands", "n", "prefix", "odd")]).select("key", "own.doc_id", "own.text_hash", "fp", "bands", "n", "prefix", "odd"))
     # Texts of one fingerprint, and linked fingerprints, each by their least text.
     firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
     alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    early = alike.unionByName(near).unionByName(stars(texts.select("key", "fp", "n", F.posexplode("bands").alias("band", "bk"))))
+    early = alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
     release(docs.sparkSession)
     roots = cut(components(similar(docs, texts, early, similarity)))
     release(docs.sparkSession)

@@ -835,7 +835,7 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.group_id for r in simhash.copies(docs).collect()} == {0}
-    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", "s.fp", "s.n", F.posexplode("s.bands").alias("band", "bk"))
+    rows = docs.select(simhash.sketches(F.col("text")).alias("s")).select("s.key", F.posexplode("s.bands").alias("band", "bk"))
     assert simhash.stars(rows).count() <= 2000 * simhash.BANDS
 
 
@@ -857,6 +857,17 @@ def test_templated_families_and_recall_by_similarity(spark):
     assert got == brute_groups(texts)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_odd_sketches_bound_the_difference(seed):
+    rng = np.random.default_rng(seed)
+    for n in (3, 50, 700, 9000):
+        a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        for changed in (0, 1, n // 10, n):
+            b = np.concatenate([a[changed:], rng.integers(0, 1 << 62, changed, dtype=np.uint64)])
+            bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.odd_sketch(a), simhash.odd_sketch(b), strict=True))
+            assert bits <= 2 * changed and (changed < n or n > 5000 or bits > n // 2)
+
+
 def test_pivots_discard_within_a_bucket(spark):
     """Fingerprints of one bucket that differ in the other ranges: the pivots' cells keep most of them from meeting."""
     rnd = random.Random(2)
