@@ -329,17 +329,21 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups whose prefixes meet. Only what has the similarity joins.
     """
     small_batches(docs)
-    marked = cut(docs.select(*handle(), sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).select("doc_id", "text_hash", "s.*"))
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/sketches-{uuid.uuid4().hex}"
+    docs.select(*handle(), sketches(F.col("text"), frequent_shingles(docs), similarity).alias("s")).select("doc_id", "text_hash", "s.*").write.parquet(path)
+    marked = spark.read.parquet(path)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
     texts = cut(marked.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("fp", "bands", "n", "prefix", "odd")]).select("key", "own.doc_id", "own.text_hash", "fp", "bands", "n", "prefix", "odd"))
+    marked = cut(marked.select("doc_id", "text_hash", "key"))
+    delete(spark, path)
+    release(spark)
     # Texts of one fingerprint, and linked fingerprints, each by their least text.
     firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
     alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
     near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     early = alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
-    release(docs.sparkSession)
     roots = cut(components(similar(docs, texts, early, similarity)))
-    release(docs.sparkSession)
+    release(spark)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
     return rooted(marked.select("doc_id", "text_hash", "key")).select("doc_id", "text_hash", "root")
