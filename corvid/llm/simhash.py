@@ -245,13 +245,13 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts (key, n, odd) that may have the similarity; it loses none that has it.
+    """The distinct pairs (a, b) of texts (key, n, odd) that may have the similarity; it loses none that has it.
 
     Of two sets of n_a and n_b elements and a similarity of t, at most (1 - t) / (1 + t) * (n_a + n_b) are in one alone.
     Each of these changes one bit between the sets' odd sketches, and elements in both change none.
     """
     side = lambda k: texts.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb"))
     return both.where((differ <= most + 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)).select("a", "b")
@@ -289,17 +289,29 @@ def on_handle(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), how).drop("b_id", "b_hash")
 
 
+def may_be_among(handles: DataFrame, rows: int) -> Column:
+    """Whether a row's handle may be among the `rows` handles (doc_id, text_hash): true for all that are."""
+    hashes = handles.select(F.xxhash64("doc_id", "text_hash").alias("h"))
+    return passes(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), *sieve(hashes, "h", rows, SIEVE_BITS, SIEVE_MOST))
+
+
 def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts (key, doc_id, text_hash) whose sets of 5-word shingles have a Jaccard similarity of `similarity`."""
-    pairs = cut(plausible(pairs, texts, similarity))
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "text_hash"), "key"))
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    pairs = cut(pairs.distinct())
+    release(docs.sparkSession)
+    nodes = cut(texts.select("key", "doc_id", "text_hash", "n", "odd").join(maybe_broadcast(ends(pairs), 2 * pairs.count()), "key"))
+    pairs = cut(plausible(pairs, nodes, similarity))
+    nodes = cut(nodes.select("key", "doc_id", "text_hash").join(ends(pairs), "key"))
+    n = nodes.count()
+    release(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
 
-    own = on_handle(docs.select(*handle(), "text"), maybe_broadcast(nodes, nodes.count()))
+    own = on_handle(docs.where(may_be_among(nodes, n)).select(*handle(), "text"), maybe_broadcast(nodes, n))
     path = f"{shared_dir(docs.sparkSession)}/shingles-{uuid.uuid4().hex}"
     own.select("key", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]).write.option("parquet.enable.dictionary", False).parquet(path)
     sets = docs.sparkSession.read.schema("key long, s array<long>").parquet(path)
@@ -322,6 +334,14 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return cut(known.unionByName(single.join(roots.select("node"), "node", "left_anti")))
 
 
+def early(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of one fingerprint and of linked fingerprints, each by their least text, and of stars()."""
+    firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
+    alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
+    near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
+
+
 def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, root of every row: rows of one root are copies of each other.
 
@@ -337,12 +357,7 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     marked = cut(marked.select("doc_id", "text_hash", "key"))
     delete(spark, path)
     release(spark)
-    # Texts of one fingerprint, and linked fingerprints, each by their least text.
-    firsts = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
-    alike = texts.select("key", "fp").join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")).where("a <> b")
-    near = links(firsts).join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    early = alike.unionByName(near).unionByName(stars(texts.select("key", F.posexplode("bands").alias("band", "bk"))))
-    roots = cut(components(similar(docs, texts, early, similarity)))
+    roots = cut(components(similar(docs, texts, early(texts), similarity)))
     release(spark)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
