@@ -373,14 +373,21 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of copies(): of the least doc_id, null last, and of the least hash of the text.
 
-    Rows that are equal in both are one: any of them stays.
+    Rows that are equal in both are one: any of them stays. A row that the sieve tells to be in no group stays without a join.
     """
     rows = cut(grouped(docs))
+    release(docs.sparkSession)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
-    chosen = rows.groupBy("root").agg(least).select("own.doc_id", "own.text_hash")
-    n = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
-    chosen = cut(on_handle(chosen, n))
-    whole = docs.select(F.struct(*columns_of(docs)).alias("row"), *handle())
-    out = on_handle(whole, maybe_broadcast(chosen, chosen.count()))
+    several = cut(rows.groupBy("root").agg(least, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", "own.doc_id", "own.text_hash"))
+    crowd = cut(rows.join(maybe_broadcast(several.select("root"), several.count()), "root", "left_semi").select("doc_id", "text_hash"))
+    n = crowd.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    chosen = several.select("doc_id", "text_hash", F.lit(True).alias("chosen"))
+    known = cut(on_handle(n, chosen, "left").select("doc_id", "text_hash", F.when(F.col("chosen"), F.col("times")).otherwise(0).alias("times")))
+    maybe = may_be_among(known, known.count())
+    release(docs.sparkSession)
+    whole = docs.select(F.struct(*columns_of(docs)).alias("row"), *handle(), maybe.alias("maybe"))
+    # A row that passes the sieve by chance is in no group, so the left join finds nothing for it; 0 times: it goes.
+    out = on_handle(whole.where("maybe"), maybe_broadcast(known, known.count()), "left")
+    once = out.where("times is null or times = 1").select("row")
     again = out.where("times > 1").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))  # summed before the shuffle
-    return out.where("times = 1").select("row").unionByName(again.select("row")).select("row.*")
+    return whole.where("not maybe").select("row").unionByName(once).unionByName(again.select("row")).select("row.*")
