@@ -66,6 +66,17 @@ def sieve(df: DataFrame, name: str, rows: int, bits_a_row: int, most: int) -> tu
     return F.expr(f"cast(split('{listed}', ',') as array<bigint>)"), bits  # one constant to the plan
 
 
+def bitmap(df: DataFrame, name: str, rows: int, bits_a_row: int, most: int) -> tuple[Column, int]:
+    """sieve() as a subquery of one row, for large ones: neither the driver nor the text of a plan holds the numbers."""
+    bits = min(max(1 << 12, 1 << (bits_a_row * rows).bit_length()), most)
+    slot = F.col(name).bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = df.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    zeros = df.sparkSession.range(bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
+    dense = words.unionByName(zeros).groupBy("i").agg(F.expr("bit_or(b)").alias("b"))
+    one = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda w: w["b"]).alias("words"))  # `most` / 64 numbers
+    return cut(one).scalar(), bits
+
+
 def passes(hash_: Column, words: Column, bits: int) -> Column:
     """Whether a hash may be among those of the sieve: true for all that are."""
     bit = hash_.bitwiseAND(F.lit(bits - 1).cast("long"))

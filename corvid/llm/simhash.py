@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, cut, delete, maybe_broadcast, passes, release, shared_dir, sieve, small_batches, unit_hash
+from .common import bitmap, columns_of, components, cut, delete, maybe_broadcast, passes, release, shared_dir, small_batches, unit_hash
 
 RADIUS, CELL = 2, 5
 #: What copies() takes: Jaccard similarity of 5-word shingles. BANDS keys of ROWS minimum hashes only join most copies
@@ -268,7 +268,7 @@ def apart(rows: DataFrame, similarity: float) -> DataFrame:
     mixed = cut(own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("s", F.ceil(F.col("c") / LARGE).cast("int").alias("parts")))
     release(rows.sparkSession)
     n = mixed.count()
-    some = sieve(mixed, "s", n, SIEVE_BITS, SIEVE_MOST)  # most shingles stand in one text: they needn't be dealt out again
+    some = bitmap(mixed, "s", n, SIEVE_BITS, SIEVE_MOST)  # most shingles stand in one text: they needn't be dealt out again
     met = cut(own.where(passes(F.col("s"), *some)).join(maybe_broadcast(mixed, n), "s"))
     a = met.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("a")
     b = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
@@ -292,7 +292,7 @@ def on_handle(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 def may_be_among(handles: DataFrame, rows: int) -> Column:
     """Whether a row's handle may be among the `rows` handles (doc_id, text_hash): true for all that are."""
     hashes = handles.select(F.xxhash64("doc_id", "text_hash").alias("h"))
-    return passes(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), *sieve(hashes, "h", rows, SIEVE_BITS, SIEVE_MOST))
+    return passes(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), *bitmap(hashes, "h", rows, SIEVE_BITS, SIEVE_MOST))
 
 
 def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
