@@ -232,10 +232,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
 
     some = docs.where(unit_hash(9, F.col("text")) < share).select(F.explode(shingles(F.col("text"))).alias("s"))
-    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).collect()
-    known = np.array([r["s"] for r in top], np.int64).view(np.uint64)
+    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
+    known = top["s"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
-    return known[order], np.array([r["c"] for r in top], np.int64)[order]
+    return known[order], top["c"].to_numpy().astype(np.int64)[order]
 
 
 def stars(rows: DataFrame) -> DataFrame:
