@@ -53,8 +53,8 @@ SIMILARITY, BANDS, ROWS, LARGE = 0.8, 20, 4, 4096
 ODD = 2048
 #: Bits for each shingle of several groups, and bits at most (2 MB), of the bitmap that saves dealing out the others.
 SIEVE_BITS, SIEVE_MOST = 16, 1 << 24
-#: Texts whose shingles are counted, and the most frequent of these that prefixes put last.
-SAMPLE, FREQUENT = 10_000, 100_000
+#: Share of the texts whose shingles are counted, and the most frequent of these that prefixes put last.
+SAMPLE, FREQUENT = 0.2, 100_000
 _RNG = np.random.default_rng(9)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -223,15 +223,14 @@ def sketches(text: Column, frequent: tuple[np.ndarray, np.ndarray] = NONE, simil
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the FREQUENT most frequent 5-word shingles of about SAMPLE texts, chosen by a hash of the text."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    """Hashes, ascending, and counts of the FREQUENT most frequent 5-word shingles of a share of SAMPLE of the texts, chosen by a hash of the text."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([np.unique(shingle_hashes(words_of(t), 5)).view(np.int64) for t in s], dtype=object)
 
-    some = docs.where(unit_hash(9, F.col("text")) < share).select(F.explode(shingles(F.col("text"))).alias("s"))
+    some = docs.where(unit_hash(9, F.col("text")) < SAMPLE).select(F.explode(shingles(F.col("text"))).alias("s"))
     top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
     known = top["s"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
