@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +52,8 @@ RADIUS, CELL = 2, 5
 SIMILARITY, BANDS, ROWS, LARGE = 0.8, 20, 4, 4096
 #: Bits of a set's odd sketch: bit i is 1 if an odd number of its hashes falls on i.
 ODD = 2048
+#: Numbers of 64 bits that a sketch is folded to where it goes along with each shingle.
+FOLDED = 4
 #: Bits for each shingle of several groups, and bits at most (2 MB), of the bitmap that saves dealing out the others.
 SIEVE_BITS, SIEVE_MOST = 16, 1 << 24
 #: Share of the texts whose shingles are counted, and the most frequent of these that prefixes put last.
@@ -257,13 +260,15 @@ def plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows (key, root, n, prefix) -> every pair (a, b) of texts of different roots that may have the similarity.
+    """rows (key, root, n, prefix, odd) -> every pair (a, b) of texts of different roots that may have the similarity.
 
     The least shingle that two such sets share is in both prefixes, and there what is left of either
-    set has to hold the whole intersection. All are conditions of the join. A shingle of over LARGE texts is
+    set has to hold the whole intersection; folded odd sketches, which are odd sketches of fewer bits, obey plausible()'s
+    bound. All are conditions of the join. A shingle of over LARGE texts is
     spread over parts; each part meets all of its texts.
     """
-    own = rows.select("key", "root", "n", F.posexplode("prefix").alias("i", "s"))
+    fold = [reduce(Column.bitwiseXOR, [F.get("odd", F.lit(k)) for k in range(j, ODD // 64, FOLDED)]).alias(f"o{j}") for j in range(FOLDED)]
+    own = rows.select("key", "root", "n", *fold, F.posexplode("prefix").alias("i", "s"))
     mixed = cut(own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("s", F.ceil(F.col("c") / LARGE).cast("int").alias("parts")))
     release(rows.sparkSession)
     n = mixed.count()
@@ -274,6 +279,8 @@ def apart(rows: DataFrame, similarity: float) -> DataFrame:
     left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     enough = left * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-6
     on = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & enough
+    differ = sum((F.bit_count(F.col(f"a.o{j}").bitwiseXOR(F.col(f"b.o{j}"))) for j in range(FOLDED)), F.lit(0))
+    on = on & (differ <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6)
     return a.join(b, on).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
@@ -359,7 +366,7 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     roots = cut(components(similar(docs, texts, early(texts), similarity)))
     release(spark)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix")), similarity), similarity))
+    roots = merged(roots, similar(docs, texts, apart(rooted(texts.select("key", "n", "prefix", "odd")), similarity), similarity))
     return rooted(marked.select("doc_id", "text_hash", "key")).select("doc_id", "text_hash", "root")
 
 
