@@ -123,8 +123,8 @@ def learn(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG, seed: int =
     rows_per_lang = min(rows_per_lang, max(1, TRAIN_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_lang / n))])
     as_features = F.pandas_udf(lambda s: pd.Series([features(t).tobytes() for t in s]), "binary")
-    sample = rows.where(unit_hash(seed, F.col("doc_id")) < share[F.col("lang")]).select("lang", as_features(F.col("text")).alias("x")).collect()
-    sample = sorted((r["lang"], bytes(r["x"])) for r in sample)
+    sample = rows.where(unit_hash(seed, F.col("doc_id")) < share[F.col("lang")]).select("lang", as_features(F.col("text")).alias("x")).toArrow()
+    sample = sorted(zip(sample["lang"].to_pylist(), sample["x"].to_pylist(), strict=True))
     return Ecoc(sorted({a for a, _ in sample}), sample)
 
 
